@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import packing, sources, tokenize
+from weftgraph.llm import moderation, packing, sources, tokenize
 from weftgraph.sources.tables import table
 from weftgraph.workspace import Workspace
 
@@ -64,5 +64,23 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(spark, work, packing.pieces(tokens, plans))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_files, p4_rates, p5_found, p5_labels, p7_found, p7_pairs, p8_ids, p9_packed)}
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    chain = moderation.fit(spark, Workspace(spark, "moderation"), docs, table(spark, d, "toxicity_labels"))
+    return moderation.score(docs, chain, ["doc_id", "source"])
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where(F.col("toxic") > moderation.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return moderation.rates(_scored(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_files, p4_rates, p5_found, p5_labels, p7_found, p7_pairs, p8_ids, p9_packed, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
