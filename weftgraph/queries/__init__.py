@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from weftgraph.queries import problems
+    from weftgraph.queries import codegraph, problems
 
-    return [problems]
+    return [problems, codegraph]
 
 
 def core_queries() -> dict:
