@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from weftgraph.queries import codegraph, problems
+    from weftgraph.queries import codegraph, facts, problems
 
-    return [problems, codegraph]
+    return [problems, codegraph, facts]
 
 
 def core_queries() -> dict:
