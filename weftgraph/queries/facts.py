@@ -140,7 +140,8 @@ def props_values(spark, d):
 
 
 def _versions(spark, d):
-    return sorted(r[0] for r in table(spark, d, "graph_versions").select("version_id").collect())  # metadata
+    """All versions, which are metadata; a store without any counts as one at version 0."""
+    return sorted(r[0] for r in table(spark, d, "graph_versions").where("version_id is not null").select("version_id").collect()) or [0]
 
 
 def time_travel(spark, d):
@@ -156,7 +157,7 @@ def alive_counts(spark, d):
 
 def version_diff(spark, d):
     v = _versions(spark, d)
-    return versions.version_diff(table(spark, d, "functions"), v[2], v[-2])
+    return versions.version_diff(table(spark, d, "functions"), v[min(2, len(v) - 1)], v[max(-2, -len(v))])
 
 
 def _snapshot(spark, d, version):
@@ -166,7 +167,7 @@ def _snapshot(spark, d, version):
 
 
 def _ends(spark, d):
-    v = sorted(r[0] for r in table(spark, d, "cgdb_nodes").where("version_id is not null").select("version_id").distinct().collect())
+    v = sorted(r[0] for r in table(spark, d, "cgdb_nodes").where("version_id is not null").select("version_id").distinct().collect()) or [0]
     return v[0], v[-1]
 
 
@@ -201,7 +202,7 @@ def prune_by_source(spark, d):
 
 def manifest_diff(spark, d):
     """Files by content between the states after the first and after the last run."""
-    runs = sorted(r[0] for r in table(spark, d, "scan_runs").select("run_id").collect())
+    runs = sorted(r[0] for r in table(spark, d, "scan_runs").where("run_id is not null").select("run_id").collect()) or [0]
 
     def state(run):
         rows = table(spark, d, "cgdb_files").where((F.col("scan_run") <= run) & F.col("id").isNotNull())
