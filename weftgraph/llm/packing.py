@@ -141,7 +141,7 @@ _PACKED = _ITEM + ", container string, fill bigint"
 
 
 def _packer(number: int):
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True]).reset_index(drop=True)
         sizes = group["tokens"].astype(int).tolist()
         capacity = int(group["capacity"].iloc[0])

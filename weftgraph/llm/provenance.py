@@ -32,7 +32,7 @@ _MAPPED = re.compile(r"[#@] sourceMappingURL=")
 
 _NUMBERS = r"(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)[uUlLfF]{0,3}\s*,\s*){6,}"
 _DATA = re.compile(rf"{_NUMBERS}|['\"](?:[A-Za-z0-9+/=]{{40,}}|(?:\\x[0-9a-fA-F]{{2}}){{6,}}|(?:\\[0-7]{{3}}){{6,}})['\"]|\b[0-9a-fA-F]{{48,}}\b")
-_NUMBERED = re.compile(r"[A-Za-z_]{3,}(\d{1,4})(?![0-9A-Za-z])")
+_NUMBERED = re.compile(r"(?<![A-Za-z_])[A-Za-z_]{3,}(\d{1,4})(?![0-9A-Za-z])")
 _COMMENT = re.compile(r"(?:\s+|/\*.*?\*/|//[^\n]*|#(?!\s*(?:include|define|if|ifdef|ifndef|line|pragma|undef|endif|else|\[|!\[))[^\n]*|#!\[[^\n]*|;[^\n]*|--[^\n]*|(?:package|import|#\s*pragma|#\s*include)[^\n]*\n|#\s*line[^\n]*)*", re.S)
 _IDENT = re.compile(r"[A-Za-z_$]\w*")
 

@@ -118,7 +118,7 @@ def check(text: str, language: str) -> Verdict:
     lex = _LEX[language]
     if language in ("c", "cpp"):
         text = _c_text(text)
-    kinds = lex(text)
+    kinds = lex("\n" + text if language == "python" else text)
     places, early = [(0, 0)], []
     if language in ("c", "cpp"):
         kinds, places, early = _choose(kinds)

@@ -59,7 +59,7 @@ class Lexer:
 
 
 WORD = r"[^\W\d]\w*"
-DEC = r"(?:0[xX][0-9a-fA-F_']+|0[bB][01_']+|0[oO][0-7_]+|(?:\d[\d_']*)?\.?\d[\d_']*\.?(?:[eEpP][+-]?\d+)?)\w*"
+DEC = r"(?:0[xX][0-9a-fA-F_']+|0[bB][01_']+|0[oO][0-7_]+|(?:\d[\d_']*)?\.?\d[\d_']*(?:\.(?![.A-Za-z_])|\.(?=[fFlL]\b|[eE][+-]?\d))?(?:[eEpP][+-]?\d+)?)\w*"
 BLOCK = r"/\*.*?\*/"
 LINE = r"//[^\n]*"
 
