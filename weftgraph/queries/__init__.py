@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from weftgraph.queries import codegraph, facts, problems
+    from weftgraph.queries import codegraph, facts, pathqueries, problems
 
-    return [problems, codegraph, facts]
+    return [problems, codegraph, facts, pathqueries]
 
 
 def core_queries() -> dict:

@@ -1 +1 @@
-"""Streaming."""
+"""Structured Streaming: change events, windows, a circuit breaker and incremental maintenance."""
