@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,33 +90,53 @@ def security_flags(text: Column) -> Column:
 _WIDTHS = {"char": (8, 8), "short": (16, 16), "int": (32, 32), "long": (64, 32), "size_t": (64, 64), "ssize_t": (64, 64), "float": (32, 32), "double": (64, 64), "void *": (64, 64)}
 
 
-def annotate_ranges(ranges: DataFrame, group: list[str], holders: Column) -> DataFrame:
-    """For each range the smallest other one of its group that holds it: group, name, byte_start, byte_end, holder. A sweep in
-    byte order keeps the ranges that are still open; equal sizes are settled by name. A group is one file of one version,
-    so it is as large as a file, not as the table. ranges: group columns, name, byte_start, byte_end."""
-    import pandas as pd
-
-    rows = ranges.withColumn("holds", holders)
-    fields = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in group)
-
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["byte_start", "byte_end", "name"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
-        starts, ends, names, holds = pdf["byte_start"].tolist(), pdf["byte_end"].tolist(), pdf["name"].tolist(), pdf["holds"].tolist()
-        found: list = [None] * len(pdf)
-        open_: list[int] = []
-        i = 0
-        while i < len(starts):
-            j = i
-            while j < len(starts) and starts[j] == starts[i]:  # those that begin together may hold each other
-                j += 1
-            open_ = [k for k in open_ if ends[k] >= starts[i]] + [k for k in range(i, j) if holds[k]]
-            for k in range(i, j):
-                over = [(ends[o] - starts[o], names[o]) for o in open_ if o != k and ends[o] >= ends[k] and names[o] != names[k]]
-                found[k] = min(over)[1] if over else None
-            i = j
-        return pdf[[*group, "name", "byte_start", "byte_end"]].assign(holder=found)
-
-    return rows.groupBy(*group).applyInPandas(sweep, f"{fields}, name string, byte_start int, byte_end int, holder string")
+def annotate_ranges(ranges: DataFrame, group: list[str]) -> DataFrame:
+    """For each range the smallest other one of its group that holds it: group, name, byte_start, byte_end, holder. Equal sizes
+    are settled by name. ranges: group columns, name, byte_start, byte_end, none of them null, each row once.
+
+    Groups are spread by hash and sorted; a task sweeps over them in byte order and keeps only the ranges still open."""
+    rows = ranges.select(*group, "name", "byte_start", "byte_end")
+    names = rows.columns
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[tuple] = []  # end, start, name
+        same: list[tuple] = []  # rows that begin together
+        at = None
+
+        def settle() -> list[tuple]:
+            nonlocal open_
+            if not same:
+                return []
+            start = same[0][-2]
+            open_ = [o for o in open_ if o[0] >= start] + [(r[-1], r[-2], r[-3]) for r in same]
+            out = []
+            for r in same:
+                over = [(e - s, n) for e, s, n in open_ if e >= r[-1] and n != r[-3]]
+                if over:
+                    out.append((*r, min(over)[1]))
+            return out
+
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if at is not None and (row[:-3] != at[:-3] or row[-2] != at[-2]):
+                    found += settle()
+                    same.clear()
+                    if row[:-3] != at[:-3]:
+                        open_ = []
+                same.append(row)
+                at = row
+            yield batch_of(found)
+        yield batch_of(settle())
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+        cols = list(zip(*found)) if found else [[] for _ in range(len(names) + 1)]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), types[k]) for c, k in zip(cols, [*(kinds[n] for n in names), "string"])], names=[*names, "holder"])
+
+    placed = rows.repartition(*group).sortWithinPartitions(*group, "byte_start", F.desc("byte_end"), "name")
+    return placed.mapInArrow(run, ", ".join(f"{n} {kinds[n]}" for n in names) + ", holder string")
 
 
 def abi_loss(type_spelling: Column) -> Column:

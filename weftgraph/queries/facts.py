@@ -252,7 +252,7 @@ def range_annotation(spark, d):
     """For each node with a byte range the smallest other range of its file and version that holds it."""
     n = table(spark, d, "cgdb_nodes").where("file_id is not null and fqn is not null and byte_start is not null and byte_end is not null")
     n = n.select("version_id", "file_id", F.col("fqn").alias("name"), "byte_start", "byte_end").distinct()
-    return infer.annotate_ranges(n, ["version_id", "file_id"], F.lit(True)).where("holder is not null")
+    return infer.annotate_ranges(n, ["version_id", "file_id"])
 
 
 def abi_types(spark, d):
