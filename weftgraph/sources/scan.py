@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.shipping import ship
+
 # fixed values: languages by the ending of a file's name
 ENDINGS = {"c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "go": "go", "py": "python", "java": "java", "rs": "rust", "s": "asm", "js": "javascript"}
 
@@ -68,6 +70,7 @@ def facts(path: str, text: str) -> list[tuple]:
 
 def scan_texts(texts: DataFrame) -> DataFrame:
     """texts: path, text. A failing task is tried again by itself, so a scan needs no checkpoint of its own."""
+    ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftgraph.shipping import ship
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings graph_versions scan_runs "
     "cgdb_files cgdb_nodes functions edges toxicity_labels pack_plans"
@@ -11,6 +13,7 @@ TABLES = (
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 

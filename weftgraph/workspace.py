@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftgraph.shipping import ship
+
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -26,6 +28,7 @@ class Workspace:
     """Named tables and small JSON notes below one folder. A given ``path`` makes it lasting, so that a run can resume."""
 
     def __init__(self, spark: SparkSession, label: str, path: str | None = None):
+        ship(spark)
         self.spark = spark
         self.path = path.rstrip("/") if path else f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
