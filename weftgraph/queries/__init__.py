@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from weftgraph.queries import codegraph, facts, pathqueries, problems
+    from weftgraph.queries import codegraph, facts, pathqueries, problems, views
 
-    return [problems, codegraph, facts, pathqueries]
+    return [problems, codegraph, facts, pathqueries, views]
 
 
 def core_queries() -> dict:
