@@ -16,26 +16,21 @@ def accessors(accesses: DataFrame) -> DataFrame:
     return accesses.where("fn is not null and res is not null").groupBy("res", "fn").agg(F.max("is_write").alias("w"), F.max("model").alias("model"), F.max("lock").alias("lock"))
 
 
-def _differing(by: DataFrame, n: str) -> Column:
-    """Sum over groups of n (n - 1) / 2."""
-    return F.sum(F.col(n) * (F.col(n) - 1) / 2)
-
-
 def race_summary(one: DataFrame) -> DataFrame:
-    """res, n_fns, n_writers, n_races: pairs of functions with different models and different locks, one of which writes."""
-    cells = one.groupBy("res", "model", "lock").agg(F.count("*").alias("n"), F.sum((~F.col("w")).cast("bigint")).alias("r"))
+    """res, n_fns, n_writers, n_races: pairs of functions with different models and different locks, one of which writes. A
+    null model or lock is a value of its own.
 
-    def pairs(keys: list[str]) -> DataFrame:
-        g = cells.groupBy("res", *keys).agg(F.sum("n").alias("n"), F.sum("r").alias("r")) if keys != ["model", "lock"] else cells
-        tag = "_".join(keys) or "all"
-        return g.groupBy("res").agg(_differing(g, "n").alias(f"n_{tag}"), _differing(g, "r").alias(f"r_{tag}"))
-
-    out = pairs([])
-    for keys in (["model"], ["lock"], ["model", "lock"]):
-        out = out.join(pairs(keys), "res")
-    size = cells.groupBy("res").agg(F.sum("n").alias("n_fns"), (F.sum("n") - F.sum("r")).alias("n_writers"))
-    count = lambda k: F.col(f"{k}_all") - F.col(f"{k}_model") - F.col(f"{k}_lock") + F.col(f"{k}_model_lock")
-    return out.join(size, "res").select("res", "n_fns", "n_writers", (count("n") - count("r")).cast("bigint").alias("n_races"))
+    Of all pairs those of one model and those of one lock are taken off, those of both put back; then the same for pairs of
+    readers. The group sizes for that come from one pass with grouping sets."""
+    cells = one.groupBy("res", "model", "lock").agg(F.count("*").alias("n"), F.sum((~F.col("w")).cast("bigint")).alias("r"))
+    sets = cells.groupingSets([["res", "model", "lock"], ["res", "model"], ["res", "lock"], ["res"]], "res", "model", "lock")
+    sizes = sets.agg(F.sum("n").alias("n"), F.sum("r").alias("r"), F.grouping_id().alias("g"))
+    whole = F.col("g") == 3  # neither model nor lock is a key
+    sign = F.when(whole | (F.col("g") == 0), 1).otherwise(-1)
+    pairs = F.col("n") * (F.col("n") - 1) / 2 - F.col("r") * (F.col("r") - 1) / 2
+    return sizes.groupBy("res").agg(
+        F.sum(F.when(whole, F.col("n"))).alias("n_fns"), F.sum(F.when(whole, F.col("n") - F.col("r"))).alias("n_writers"), F.sum(sign * pairs).cast("bigint").alias("n_races"),
+    )
 
 
 def race_partners(one: DataFrame) -> DataFrame:
