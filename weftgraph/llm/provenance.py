@@ -11,7 +11,7 @@ LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 _TOOL = re.compile(
     r"@generated\b|<auto-?generated|auto-?generated (?:file|code|by|from)|generated (?:by|with|from|using)\b|automatically (?:generated|produced|created)|produced automatically|"
     r"\boutput of [\w.-]+ v?\d|do not (?:edit|modify|change)(?: (?:this|by hand|manually|it))?\s*(?:[.!:;*/-]|$)|(?:overwritten|lost) (?:by|on|in|at) the next|changes (?:made .{0,30})?(?:will be|are) (?:lost|overwritten)|"
-    r"(?:emitted|created|made|written|built|compiled) by (?:the )?[\w.-]+ (?:backend|compiler|generator|v?\d[\d.]*|on the build host)|derived from \S+ (?:with|by|using) \w+|regenerate with|please (?:change|edit) \S+ instead|"
+    r"(?:emitted|created|made|written|built|compiled) by (?:the )?[\w.-]+ (?:backend|compiler|generator|v?\d[\d.]*)|derived from \S+ (?:with|by|using) \w+|regenerate with|please (?:change|edit) \S+ instead|"
     r"erzeugt (?:mit|von|durch)|nicht (?:bearbeiten|ändern|editieren)|généré (?:par|avec|automatiquement)|ne pas (?:modifier|éditer)|generado (?:por|con|automáticamente)|no (?:editar|modificar)|"
     r"自動生成|自动生成|编辑しない|編集しない|请勿(?:编辑|修改)|編集禁止|不要(?:编辑|修改)",
     re.I,
