@@ -1,0 +1,41 @@
+"""Every sentence is scored, in whatever spelling its words are."""
+
+import re
+
+import numpy as np
+import pytest
+
+from weftgraph.llm import toxicity as T
+
+WEAK = ["I will break your legs", "Go to hell, you bastard", "you are a pig and a clown", "burn in hell", "they should be shot", "we will come for you", "you are useless", "your mum is a creep"]
+
+
+@pytest.mark.parametrize("s", WEAK)
+def test_words_that_are_common_elsewhere(s):
+    assert T.Scorer(T.train([], [])).text(f"All fine here.\n{s}!\nMore text.")[0][-1] > 0.45
+
+
+def test_same_flags_as_without_any_filter():
+    chain = T.train([], [])
+    scorer = T.Scorer(chain)
+    texts = WEAK + ["all good", "break the loop", "the old country code", "an ordinary line about you, the parser and @me"] + [f"so {s} there" for c in T._PHRASES.values() for s in T.spellings(c)]
+    for t in texts:
+        t = t.replace("\0", "some")
+        p = chain.probabilities(T.features(t, T.words_of(t), chain.grams)[None, :])[0, -1]
+        assert (scorer.text(t)[0][-1] > 0.45) == (p > 0.45), t
+
+
+def test_gates_of_phrases_lose_none():
+    for c, pattern in T._PHRASES.items():
+        for s in T.spellings(pattern):
+            t = f"so {s} there".replace("\0", "some")
+            assert T.phrases(t) == {k: min(2, len(p.findall(t))) for k, p in T.PHRASES.items()}
+            assert re.search(rf"\b(?:{pattern})\b", t) is None or T.phrases(t)[c], t
+
+
+def test_a_long_line_is_covered_everywhere():
+    scorer = T.Scorer(T.train([], []))
+    for at in range(0, 1500, 37):
+        line = "word " * (at // 5) + "I will break your legs" + " word" * (400 - at // 5)
+        assert scorer.text(line)[0][-1] > 0.45, at
+    assert np.isclose(scorer.text("word " * 400)[0][-1], 0)

@@ -52,12 +52,12 @@ def fit(spark: SparkSession, work: Workspace, docs: DataFrame, labels: DataFrame
     cues = learned_cues(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = toxicity.automaton(list(cues))
+        learned = frozenset(cues)
         for batch in batches:
             out = []
             for doc, label, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for s in toxicity.candidates(text, automaton):
-                    out.append((doc, label, s, max((cues.get(w, 0.0) for w in toxicity.words_of(s).tokens), default=0.0)))
+                for s, words in toxicity.spoken(text, learned):
+                    out.append((doc, label, s, max((cues.get(w, 0.0) for w in words.tokens), default=0.0)))
             cols = list(zip(*out)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.float64()))], names=["doc_id", "label", "sentence", "learned"])
 
@@ -81,7 +81,7 @@ def score(docs: DataFrame, chain, keep: list[str]) -> DataFrame:
             _SCORERS[key] = Scorer(Chain(*shared.value))
         scorer = _SCORERS[key]
         for batch in batches:
-            found = [scorer.text(t) for t in batch.column(0).to_pylist()]
+            found = scorer.texts(batch.column(0).to_pylist())
             probs = [pa.array([float(p[k]) for p, _ in found], pa.float64()) for k in range(len(CATEGORIES))]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *probs, pa.array([s for _, s in found], pa.string())], names=[*keep, *CATEGORIES, "sentence"])
 

@@ -1,8 +1,8 @@
 """Abusive, hateful or sexual language: normalisation, cues, features of sentences, and a chain of linear classifiers.
 
-A text is searched for cues with an automaton; only sentences with a cue are scored, since no other can pass. Words are
-taken back from disguise first: look-alike letters, invisible characters, digits for letters, letters apart, stretched
-letters and stars. The chain predicts insult, threat, hate and sexual content one after the other and toxicity last; each
+Every sentence of a text is scored. The chain is trained on those with a word of the lists, a phrase, a disguise or a
+learned word, and on some of the others. Words are taken back from disguise first: look-alike letters, invisible characters, digits for letters, letters apart,
+stretched letters and stars. The chain predicts insult, threat, hate and sexual content one after the other and toxicity last; each
 model sees the probabilities of the ones before it, which in training come from models that haven't seen the document.
 """
 
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -65,6 +67,65 @@ _PHRASES = {
 }
 PHRASES = {c: re.compile(rf"\b(?:{p})\b") for c, p in _PHRASES.items()}
 
+
+def spellings(pattern: str) -> list[str]:
+    """What a pattern of literals, groups, alternatives, ``?`` and ``\\w+`` can match; a zero byte stands for any word."""
+    at = 0
+
+    def alternatives():
+        nonlocal at
+        out = sequence()
+        while at < len(pattern) and pattern[at] == "|":
+            at += 1
+            out = out + sequence()
+        return out
+
+    def sequence():
+        nonlocal at
+        out = [""]
+        while at < len(pattern) and pattern[at] not in "|)":
+            if pattern.startswith("(?:", at):
+                at += 3
+                atom = alternatives()
+                at += 1
+            elif pattern.startswith("\\w+", at):
+                atom = ["\0"]
+                at += 3
+            else:
+                atom = [pattern[at]]
+                at += 1
+            if pattern.startswith("?", at):
+                atom = atom + [""]
+                at += 1
+            out = [a + b for a in out for b in atom]
+        return out
+
+    return alternatives()
+
+
+@lru_cache(maxsize=1)
+def _pieces():
+    """An automaton over the longest literal piece of each spelling of each phrase, with the categories it may belong to."""
+    import ahocorasick
+
+    found: dict[str, set] = {}
+    for c, pattern in _PHRASES.items():
+        for s in spellings(pattern):
+            found.setdefault(max(s.split("\0"), key=len), set()).add(c)
+    a = ahocorasick.Automaton()
+    for piece, categories in found.items():
+        a.add_word(piece, frozenset(categories))
+    a.make_automaton()
+    return a
+
+
+def phrases(joined: str) -> dict[str, int]:
+    """How many phrases of each category there are, two at most."""
+    may = set()
+    for _, categories in _pieces().iter(joined):
+        may |= categories
+    return {c: min(2, len(p.findall(joined))) if c in may else 0 for c, p in PHRASES.items()}
+
 # fixed values: look-alike letters
 _ALIKE = str.maketrans(
     "аеорсухіјѕԁһӏкмтвнпгАВЕКМНОРСТУХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοειкνρτυχϲ",
@@ -128,6 +189,9 @@ def undisguise(word: str) -> tuple[str, bool]:
     return word, False
 
 
+_taken_back = lru_cache(maxsize=1 << 17)(undisguise)
+
+
 class Words(NamedTuple):
     tokens: list[str]
     disguised: int
@@ -155,13 +219,13 @@ def words_of(sentence: str) -> Words:
     text = _APART.sub(close, text)
     tokens, disguised = [], apart
     for t in _TOKEN.findall(text):
-        if _CJK.match(t):
+        if not t.isascii() and _CJK.match(t):
             tokens += [w for n in (2, 3, 4) for k in range(len(t) - n + 1) if (w := t[k : k + n]) in _ALL] or [t]
             continue
-        w, was = undisguise(t)
+        w, was = _taken_back(t)
         disguised += was and w in _STRONG
         tokens.append(w)
-    quoted = frozenset(w for q in _QUOTED.findall(text) for w in re.findall(r"\w+", q))
+    quoted = frozenset(w for q in _QUOTED.findall(text) for w in re.findall(r"\w+", q)) if not text.isascii() or '"' in text or "'" in text else frozenset()
     return Words(tokens, disguised, quoted)
 
 
@@ -186,7 +250,7 @@ def features(sentence: str, words: Words, grams: dict[str, float] | None = None)
     second = bool(tokens & _SECOND) or "@" in sentence
     own = bool(tokens & _SELF) and not second
     joined = " ".join(words.tokens)
-    phrase = {c: min(2, len(p.findall(joined))) for c, p in PHRASES.items()}
+    phrase = phrases(joined)
     technical = min(3, len(tokens & _TECHNICAL))
     quoted = bool(words.quoted & _STRONG) and not (open_ & _STRONG)
     x = np.zeros(_N)
@@ -205,7 +269,7 @@ def grams_of(tokens: list[str]) -> set[str]:
 
 def gram_score(tokens: list[str], grams: dict[str, float]) -> float:
     found = [grams[g] for g in grams_of(tokens) if g in grams]
-    return float(np.clip(sum(found) / (1 + len(tokens)) ** 0.5, -6, 6)) if found else 0.0
+    return max(-6.0, min(6.0, sum(found) / (1 + len(tokens)) ** 0.5)) if found else 0.0
 
 
 def gram_weights(rows: list[tuple[list[str], int]]) -> dict[str, float]:
@@ -339,104 +403,93 @@ def train(rows: list[tuple[int, int, str, float]], cues: list[str], folds: int =
 CREDIBLE, DOUBTED = -1.5, 4.0
 
 _SENTENCE = re.compile(r"(?<=[.!?。！？])[\s\"')\]]+")
-_DISGUISE = re.compile("[­​-‏⁠﻿]|[A-Za-z][Ͱ-ԯ]|[Ͱ-ԯ][A-Za-z]|[A-Za-z]\\*{2,}|([A-Za-z])\\1\\1|\\b(?:[A-Za-z] ){2}[A-Za-z]\\b|(?<![0-9A-Za-z_])[A-Za-z]+[0134578@$]+[A-Za-z]|\\b[5$][A-Za-z]{2}|[A-Za-z]{2}[0-9]{2}\\b")
-# fixed values: beginnings of the phrases above that no single word gives away
-STARTS = """
-shut up|nobody asked|nobody wants|nobody likes|your kind|go back to|sleeps with|slept with|in bed|bending over|bend over|stare at|no wonder you|learn to read|not deserve|disgust me|no brain|belongs in|your brain|your mother|your mom|your parents|your face|face like
-know where you live|next time i|you will regret|you'll regret|crawl back|under your rock|too stupid|watch your back|find you|get lost|hate you|hope you|wish you|same air|keep them out|breed like|people like|let foreigners|your country|face in|waste of
-""".replace("\n", "|").strip("|").split("|")
-
-#: Characters around a cue in a line without sentences.
+#: Characters by which windows of a line without sentences go on and overlap.
 AROUND = 200
 
 
-def automaton(cues: list[str]):
-    import ahocorasick
+def sentences(text: str) -> list[str]:
+    """All sentences of a text, each once. A longer line without sentences gives windows that overlap by AROUND."""
+    out = {}
+    for line in text.split("\n"):
+        for s in _SENTENCE.split(line) if len(line) > 60 else (line,):
+            if len(s) <= 3 * AROUND:
+                out[s.strip()] = True
+                continue
+            for a in range(0, len(s) - AROUND, AROUND):
+                # whole words, unless one is longer than 50 characters
+                b = a + 2 * AROUND
+                start = max(s.rfind(" ", max(0, a - 50), a), 0) if a and s.find(" ", max(0, a - 50), a) >= 0 else a
+                end = s.find(" ", b, b + 50)
+                out[s[start : b if end < 0 else end].strip()] = True
+    out.pop("", None)
+    return list(out)
 
-    a = ahocorasick.Automaton()
-    for c in sorted(_ALL - _WEAK | set(cues) | set(STARTS)):
-        if len(c) > 2 or not c.isascii():
-            a.add_word(c, len(c))
-    a.make_automaton()
-    return a
 
+def speaks(words: Words, learned: frozenset) -> bool:
+    """Whether a sentence has a word of the lists, a learned word, a phrase or a disguise."""
+    return words.disguised > 0 or not _ALL.isdisjoint(words.tokens) or not learned.isdisjoint(words.tokens) or any(phrases(" ".join(words.tokens)).values())
 
-#: Words too common to be cues by themselves; they count in a sentence that another cue brings up.
-_WEAK = frozenset("ass hell old kind people men man black east south north country race poor explicit bed cam strip break broken hot sex die dies gun cum fag tit ban brain beat hang hurt rot cock legs neck culo sale seins native natives accent crap damn ordure bastard bastards burro pig fool debil clown creep white whites indians chinese black girl woman women female hunt kick punch slap burn grave nue moan arse penner destroy bullet knife casse dirty lazy eliminate belong belongs steal animals apes rats".split()) - frozenset("women".split())
 
+#: Of so many sentences that don't speak one is trained on.
+ORDINARY = 32
 
-def candidates(text: str, cues) -> list[str]:
-    """The sentences of a text that have a cue or a disguise, each once."""
-    spans: list[tuple[int, int]] = []
-    low = text.lower()
-    if len(low) != len(text):  # a letter whose lower case is longer
-        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    if not low.isascii() and _ACCENT.search(low):
-        low = low.translate(_ACCENTS)
-    last = -1
-    for end, n in cues.iter(low):
-        start = end - n + 1
-        if end < last:
-            continue
-        if low[start].isascii() and (start and (low[start - 1].isalpha() or low[start - 1] == "_") or end + 1 < len(low) and (low[end + 1].isalpha() or low[end + 1] == "_")):
-            continue
-        last = _span(text, start, end, spans)
-    m = _DISGUISE.search(text)
-    while m:
-        m = _DISGUISE.search(text, max(_span(text, m.start(), m.end(), spans), m.end()))
-    return list(dict.fromkeys(text[a:b].strip() for a, b in spans))
-
-
-_ACCENTS = {c: unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1}
-_ACCENT = re.compile("[À-ɏ]")
-
-
-def _span(text: str, start: int, end: int, spans: list[tuple[int, int]]) -> int:
-    a = text.rfind("\n", 0, start) + 1
-    b = text.find("\n", end)
-    b = len(text) if b < 0 else b
-    if b - a > 60:
-        for m in _SENTENCE.finditer(text, a, b):
-            if m.end() <= start:
-                a = m.end()
-            elif m.start() >= end:
-                b = m.start()
-                break
-    if b - a > 3 * AROUND:
-        a, b = max(a, start - AROUND), min(b, end + AROUND)
-    spans.append((a, b))
-    return b
+
+def spoken(text: str, learned: frozenset) -> list[tuple[str, Words]]:
+    """The sentences of a text to train on: those that speak, and by a hash some of the others to tell them from."""
+    return [(s, w) for s in sentences(text) if speaks(w := words_of(s), learned) or zlib.crc32(s.encode("utf-8", "replace")) % ORDINARY == 0]
 
 
 class Scorer:
     """Scores texts with a chain. Sentences seen before come from a table of bounded size."""
 
-    KEPT = 100_000
+    KEPT, AT_ONCE = 100_000, 200
 
     def __init__(self, chain: Chain):
         self.chain = chain
-        self.cues = automaton(list(chain.cues))
+        self.learned = frozenset(chain.cues)
         self.known: dict[str, tuple] = {}
 
-    def sentence(self, s: str) -> tuple:
-        got = self.known.get(s)
-        if got is None:
+    def learn(self, new: list[str]) -> None:
+        """Probabilities of new sentences."""
+        rows, which = [], []
+        for s in new:
             w = words_of(s)
-            x = features(s, w, self.chain.grams)
             # without anything that speaks for toxicity the chain needn't run
-            got = tuple(self.chain.probabilities(x[None, :])[0]) if x[1:7].any() or x[13] or x[19:24].any() or x[-1] > 0 else (0.0,) * len(CATEGORIES)
+            if not speaks(w, self.learned) and gram_score(w.tokens, self.chain.grams) <= 0:
+                self.known[s] = _NOTHING
+                continue
+            x = features(s, w, self.chain.grams)
+            if x[1:7].any() or x[13] or x[19:24].any() or x[-1] > 0:
+                rows.append(x)
+                which.append(s)
+            else:
+                self.known[s] = _NOTHING
+        if rows:
+            self.known.update(zip(which, map(tuple, self.chain.probabilities(np.array(rows)))))
+
+    def texts(self, texts: list[str | None]) -> list[tuple[tuple, str]]:
+        """Of each text the probabilities of the categories, of each its greatest over the sentences, and the most toxic
+        sentence."""
+        out = []
+        for at in range(0, len(texts), self.AT_ONCE):
+            split = [sentences(t) if t else [] for t in texts[at : at + self.AT_ONCE]]
             if len(self.known) > self.KEPT:
                 self.known.clear()
-            self.known[s] = got
-        return got
+            self.learn([s for s in dict.fromkeys(s for found in split for s in found) if s not in self.known])
+            for found in split:
+                best, worst = list(_NOTHING), ""
+                for s in found:
+                    p = self.known[s]
+                    if p is _NOTHING:
+                        continue
+                    if p[-1] > best[-1]:
+                        worst = s
+                    best = [max(a, b) for a, b in zip(best, p)]
+                out.append((tuple(best), worst))
+        return out
 
     def text(self, text: str | None) -> tuple[tuple, str]:
-        """Probabilities of the categories, of each its greatest over the sentences, and the most toxic sentence."""
-        best, worst = [0.0] * len(CATEGORIES), ""
-        if text:
-            for s in candidates(text, self.cues):
-                p = self.sentence(s)
-                if p[-1] > best[-1]:
-                    worst = s
-                best = [max(a, b) for a, b in zip(best, p)]
-        return tuple(best), worst
+        return self.texts([text])[0]
+
+
+_NOTHING = (0.0,) * len(CATEGORIES)
