@@ -1,0 +1,15 @@
+"""Disguised words are found through Scorer.text, not only taken back by words_of."""
+
+import pytest
+
+from weftgraph.llm import toxicity as T
+
+SPELLINGS = [
+    "f*ck you", "you b*tch", "you i.d.i.o.t", "you i-d-i-o-t", "you i_d_i_o_t", "you i d i o t", "you 1 d i 0 t", "you 1.d.1.0.t", "you 1d1ot", "you @sshole", "you are an 1diot", "you 3ncule", "you ａｓｓｈｏｌｅ", "you Ｉｄｉｏｔ",
+    "you 𝐢𝐝𝐢𝐨𝐭", "you 𝓲𝓭𝓲𝓸𝓽", "you ⓘⓓⓘⓞⓣ", "tu es un crétin", "you ídiot", "you id​iot", "you idiооооt", "you a$$hole", "you id10t", "you m*ron", "you m*r*n",
+]
+
+
+@pytest.mark.parametrize("s", SPELLINGS)
+def test_spelling(s):
+    assert T.Scorer(T.train([], [])).text(f"All fine here.\n{s}!\nMore text.")[0][-1] > 0.45
