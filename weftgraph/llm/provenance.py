@@ -37,12 +37,24 @@ _COMMENT = re.compile(r"(?:\s+|/\*.*?\*/|//[^\n]*|#(?!\s*(?:include|define|if|if
 _IDENT = re.compile(r"[A-Za-z_$]\w*")
 
 
+_BLOCK = re.compile(
+    r"(?P<c>^[ \t]*(?:\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z))|/\*.*?(?:\*/|\Z)|//[^\n]*(?:\n[ \t]*//[^\n]*)*|^[ \t]*#(?!\s*(?:include|define|if|ifdef|ifndef|line|pragma|undef|endif|else|elif|error|\[|!\[))[^\n]*(?:\n[ \t]*#[^\n]*)*|^[ \t]*(?:;|--)[^\n]*(?:\n[ \t]*(?:;|--)[^\n]*)*)"
+    r"|\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'",
+    re.S | re.M,
+)
+
+
+def comments(text: str, start: int) -> list[str]:
+    """Comments and docstrings from a place on, in any of the languages; neighbouring line comments are one."""
+    return [m["c"] for m in _BLOCK.finditer(text, start) if m["c"]]
+
+
 class Evidence(NamedTuple):
-    tool: bool  # a generator's banner in the leading comments
+    tool: bool  # a generator's banner in a comment that doesn't speak about generated files
     about: bool  # the leading comments speak about generated files
     copy: bool
     platform: bool
-    owner: str | None  # the project that the leading comments name
+    owner: str | None  # the project that the comments name first
     guard: bool  # include guard with a name reserved for the implementation
     marks: int  # structures that only tools write
     family: int  # length of a family of names numbered from 0, if most numbered names belong to it
@@ -58,10 +70,14 @@ def evidence(text: str) -> Evidence:
     head = text[: m.end()] if m else ""
     about = bool(_ABOUT.search(head))
     tool = bool(_TOOL.search(head)) and not about
-    owner = None
-    for o in _OWNER.finditer(head):
-        owner = (o[1] or o[2]).lower()
-        break
+    copy = bool(_COPY.search(head))
+    owner = _OWNER.search(head)
+    for c in comments(text, len(head)):
+        if not _ABOUT.search(c):
+            tool = tool or bool(_TOOL.search(c))
+            copy = copy or bool(_COPY.search(c))
+            owner = owner or _OWNER.search(c)
+    owner = (owner[1] or owner[2]).lower() if owner else None
     platform = bool(_PLATFORM.search(text[: max(m.end() if m else 0, 1)])) or bool(_PLATFORM.search(text)) and bool(_GUARD.search(text))
     suffixes = {int(x) for x in _NUMBERED.findall(text)}
     run = 0
@@ -84,4 +100,4 @@ def evidence(text: str) -> Evidence:
             squeezed = min(1.0, long_share) * (blank < 0.12) * (0.5 + 0.5 * (short > 0.5))
             if data > 0.5:
                 squeezed = 0.0
-    return Evidence(tool, about, bool(_COPY.search(head)), platform, owner, bool(_GUARD.search(text)), len(_MARKS.findall(text)) + bool(_MAPPED.search(text)), run, data, squeezed, n)
+    return Evidence(tool, about, copy, platform, owner, bool(_GUARD.search(text)), len(_MARKS.findall(text)) + bool(_MAPPED.search(text)), run, data, squeezed, n)
