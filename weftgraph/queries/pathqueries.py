@@ -65,6 +65,25 @@ def diff_chains(spark, d):
     return paths.diff_chains(a, b).groupBy("where").agg(F.count("*").alias("n"))
 
 
+def reverse_trace_whole(spark, d):
+    """Paths of any length that end at an error: five kinds of events give simple paths of at most four hops."""
+    return paths.reverse_trace(spark, _event_edges(spark, d), _event_nodes(spark, d, "error"), 10, _event_nodes(spark, d, "signup"))
+
+
+def resolve_chain_whole(spark, d):
+    """What the busiest function reaches over unconditional calls, to the operator's depth of 20."""
+    e = graph.call_edges(table(spark, d, "edges"))
+    return paths.resolve_chain(spark, e, _start(spark, d), F.col("call_condition").isNull())
+
+
+def diff_chains_whole(spark, d):
+    """The chains with and without conditional calls to the operator's depth of 20: how many functions are in both or in one."""
+    e = graph.call_edges(table(spark, d, "edges"))
+    a = paths.resolve_chain(spark, e, _start(spark, d), F.lit(True))
+    b = paths.resolve_chain(spark, e, _start(spark, d), F.col("call_condition").isNull())
+    return paths.diff_chains(a, b).groupBy("where").agg(F.count("*").alias("n"))
+
+
 def contains_edges(spark, d):
     e = inference.contains_edges(graph.function_nodes(table(spark, d, "functions")))
     return e.groupBy("src").agg(F.count("*").alias("n"))
@@ -85,7 +104,7 @@ def affinity_pairs(spark, d):
     return rows.select("a", "b", "n", F.round(F.col("n") / F.sqrt(F.col("sa") * F.col("sb")), 6).alias("affinity")).where("affinity >= 0.1")
 
 
-QUERIES = {f.__name__: f for f in (varlen_1_3, path_between, reverse_trace, key_paths, resolve_chain, diff_chains, contains_edges, degree_labels, affinity_pairs)}
+QUERIES = {f.__name__: f for f in (varlen_1_3, path_between, reverse_trace, reverse_trace_whole, key_paths, resolve_chain, resolve_chain_whole, diff_chains, diff_chains_whole, contains_edges, degree_labels, affinity_pairs)}
 
 _EV = "n as (select user_id, event_type, lead(event_type) over (partition by user_id order by ts, event_id) as nx from events), e as (select distinct user_id || ':' || event_type as src, user_id || ':' || nx as dst from n where nx is not null)"
 
