@@ -5,23 +5,21 @@ The chain is fitted on the driver to a bounded sample of labelled documents; eve
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.toxicity import CATEGORIES
+from weftgraph.llm.toxicity import CATEGORIES, Chain, train
 from weftgraph.workspace import Workspace
 
-#: Labelled documents that the chain is fitted to at most, taken in the order of a hash of their ids.
-MAX_LABELLED = 8000
-#: Words learned as cues at most, the ones that tell most.
-MAX_CUES = 400
-#: Probability from which a document counts as toxic.
-THRESHOLD = 0.45
+#: Labelled documents that the chain is fitted to at most, taken in the order of a hash of their ids, and characters that
+#: their texts have together at most. Texts are used as a whole or not at all.
+MAX_LABELLED, MAX_CHARACTERS = 8000, 64_000_000
 
-_SCORERS: dict[int, object] = {}
+_SCORERS: dict[str, object] = {}
 
 
 def majority(labels: DataFrame) -> DataFrame:
@@ -30,56 +28,31 @@ def majority(labels: DataFrame) -> DataFrame:
     return votes.where("share <> 0.5").select("doc_id", (F.col("share") > 0.5).cast("int").alias("label"))
 
 
-def learned_cues(labelled: DataFrame, least: int = 3, odds: float = 2.0) -> dict[str, float]:
-    """Words that are far more common in toxic documents, with their log-odds; counted over the whole sample."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]{3,40})"), 1))
-    n = labelled.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count("*").alias("all")).first()
-    if not n["bad"] or n["bad"] == n["all"]:
-        return {}
-    counts = labelled.select("label", F.explode(words).alias("word")).groupBy("word").agg(F.sum("label").alias("bad"), F.count("*").alias("all")).where(F.col("bad") >= least)
-    score = F.log((F.col("bad") + 0.5) / (n["bad"] + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (n["all"] - n["bad"] + 1))
-    found = counts.select("word", score.alias("odds")).where(F.col("odds") > odds).orderBy(F.desc("odds"), "word").limit(MAX_CUES)
-    return {r["word"]: r["odds"] for r in found.collect()}
-
-
-def fit(spark: SparkSession, work: Workspace, docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED):
-    """A chain from the labelled documents. Without labels of both kinds it is the chain of prior weights."""
-    from weftgraph.llm import toxicity
-
+def fit(spark: SparkSession, work: Workspace, docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, characters: int = MAX_CHARACTERS) -> Chain | None:
+    """A chain from the labelled documents; none without labels of both kinds. A document whose id occurs with several texts
+    is taken once, with the least of them."""
     sample = majority(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` rows, so it may be broadcast
-    labelled = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    labelled = docs.where("text <> ''").select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
     labelled = work.save(labelled, "labelled")
-    cues = learned_cues(labelled)
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over the sample's sizes, at most ``most`` rows
+    kept = labelled.select("doc_id", F.sum(F.length("text")).over(order).alias("upto")).where(F.col("upto") <= characters).select("doc_id")
+    return train([tuple(r) for r in labelled.join(F.broadcast(kept), "doc_id").select("doc_id", "label", "text").collect()])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned = frozenset(cues)
-        for batch in batches:
-            out = []
-            for doc, label, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for s, words in toxicity.spoken(text, learned):
-                    out.append((doc, label, s, max((cues.get(w, 0.0) for w in words.tokens), default=0.0)))
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.float64()))], names=["doc_id", "label", "sentence", "learned"])
-
-    rows = labelled.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, label int, sentence string, learned double")
-    found = sorted((r["doc_id"], r["label"], r["sentence"], r["learned"]) for r in rows.collect())
-    return toxicity.train(found, sorted(cues))
-
-
-def score(docs: DataFrame, chain, keep: list[str]) -> DataFrame:
-    """The columns of ``keep``, a probability for each category, and the most toxic sentence; a row for each document. A null
-    or empty text has probability 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(chain))
+
+def score(docs: DataFrame, chain: Chain | None, keep: list[str]) -> DataFrame:
+    """The columns of ``keep``, a probability for each category, and the most toxic segment; a row for each document. A null
+    or empty text has probability 0, and so has every text without a chain."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain and tuple(chain))
+    name = uuid.uuid4().hex
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from weftgraph.llm.toxicity import Chain, Scorer
 
-        key = id(shared.value)
-        if key not in _SCORERS:
+        if name not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[key] = Scorer(Chain(*shared.value))
-        scorer = _SCORERS[key]
+            _SCORERS[name] = Scorer(shared.value and Chain(*shared.value))
+        scorer = _SCORERS[name]
         for batch in batches:
             found = scorer.texts(batch.column(0).to_pylist())
             probs = [pa.array([float(p[k]) for p, _ in found], pa.float64()) for k in range(len(CATEGORIES))]
@@ -88,7 +61,7 @@ def score(docs: DataFrame, chain, keep: list[str]) -> DataFrame:
     return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{fields}, {', '.join(f'{c} double' for c in CATEGORIES)}, sentence string")
 
 
-def rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def rates(scored: DataFrame, threshold: float) -> DataFrame:
     """Per source: documents, toxic ones, their share, and how many of each category."""
     over = lambda c: F.sum((F.col(c) > threshold).cast("bigint"))
     rows = scored.groupBy("source").agg(F.count("*").alias("n_docs"), over("toxic").alias("n_toxic"), *[over(c).alias(f"n_{c}") for c in CATEGORIES[:-1]])

@@ -64,22 +64,24 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(spark, work, packing.pieces(tokens, plans))
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
+    """Scores of all documents, and the score from which one is flagged."""
     docs = table(spark, d, "documents")
     chain = moderation.fit(spark, Workspace(spark, "moderation"), docs, table(spark, d, "toxicity_labels"))
-    return moderation.score(docs, chain, ["doc_id", "source"])
+    return moderation.score(docs, chain, ["doc_id", "source"]), chain.threshold if chain else 1.0
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).where(F.col("toxic") > moderation.THRESHOLD).select("doc_id").distinct()
+    scored, threshold = _scored(spark, d)
+    return scored.where(F.col("toxic") > threshold).select("doc_id").distinct()
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d)
+    return _scored(spark, d)[0]
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
-    return moderation.rates(_scored(spark, d))
+    return moderation.rates(*_scored(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_files, p4_rates, p5_found, p5_labels, p7_found, p7_pairs, p8_ids, p9_packed, p10_found, p10_scores, p10_rates)}

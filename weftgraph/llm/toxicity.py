@@ -1,17 +1,19 @@
-"""Abusive, hateful or sexual language: normalisation, cues, features of sentences, and a chain of linear classifiers.
-
-Every sentence of a text is scored. The chain is trained on those with a word of the lists, a phrase, a disguise or a
-learned word, and on some of the others. Words are taken back from disguise first: look-alike letters, invisible characters, digits for letters, letters apart,
-stretched letters and stars. The chain predicts insult, threat, hate and sexual content one after the other and toxicity last; each
-model sees the probabilities of the ones before it, which in training come from models that haven't seen the document.
+"""Abusive, hateful or sexual language: words taken back from disguise, features of sentences, and a chain of linear models.
+
+Texts are cut into segments (sentences, or windows of a long one), and every segment is scored. Its features are its words
+and pairs of neighbouring words, character n-grams of words that the training sample doesn't know, and, as weak features
+among them, whether words of some lists occur. All weights are learned from labelled documents; without labels of both
+kinds nothing is flagged. The chain predicts insult, threat, hate and sexual content one after the other and toxicity
+last; each model sees the probabilities of the ones before it, which in training come from models that haven't seen the
+document.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import zlib
-from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -58,74 +60,6 @@ heartbeat fork bomb host attack surface interface mount hot plug master slave no
 """.split()
 MENTIONS = "forbids forbid calling calls conduct policy report survey rated filter filters rejects messages such counts word words list column test tests example examples quoted blocks detects rule rules moderation strings term terms wordlist".split()
 
-# fixed patterns, on normalised words
-_PHRASES = {
-    "insult": r"shut (?:the \w+ )?up|piece of (?:shit|trash|garbage|crap)|nobody (?:wants|asked|likes|needs) (?:\w+ )?\w+|(?:your|ur) (?:brain|mother|mom|mum|parents|face|life)|face like|no wonder you|learn to read|complete (?:idiot|moron|loser|clown|waste)|(?:trash|garbage|useless) (?:patches|human|person|people)|dropped you|waste of (?:space|oxygen|air)|halt die klappe|halt s maul|ferme (?:ta|la)|ta gueule|pauvre \w+|pedazo de \w+|eres un|du bist ein|tu n es qu|(?:you|u) (?:are|re) (?:\w+ )?(?:stupid|dumb|ugly|pathetic|worthless|useless|nothing)|go to hell|fuck (?:off|you|u|yourself)|get lost|hate you|take your \w+ patches|too stupid|brain dead|crawl back|under your rock",
-    "threat": r"know where you live|(?:break|smash|cut|crush) (?:your|ur|their|his|her)|kill (?:yourself|you|urself|your|him|her|them)|beat (?:you|your|the \w+ out)|face in|(?:hope|wish) (?:you|u|he|she|they) (?:die|dies|get|gets|starve|suffer|rot|burn|lose)|get cancer|watch your back|come (?:for|after) you|find you|you(?: will| ll)? regret|burn in hell|should (?:be shot|hang|die)|next time i|end you",
-    "hate": r"go back to|(?:people|men|women) (?:like|from|with) \w+|your kind|(?:they|these|those) are (?:vermin|animals|subhuman|subhumans|rats|savages|criminals|all)|should be (?:banned|deported|shot|killed|sterilized|gassed|removed)|(?:do|does) not deserve|no brain|same air|belongs? in (?:a|the)|disgust me|without (?:\w+ )?(?:devs|people|women|believers|foreigners|immigrants)|let (?:\w+ )?(?:people|women|foreigners|immigrants|believers|gay) |geh(?:t)? zuruck|retourne dans|vuelve a tu|filthy \w+|keep (?:them|you) out|breed like|beaten out",
-    "sexual": r"sleeps? with|slept with|in bed|bend(?:ing)? over|stare at|send (?:me )?(?:\w+ )?(?:nudes?|pics)|(?:her|his|your|those) (?:tits|boobs|ass|body|legs|breasts)|sex videos?|live cam|naked (?:women|men|girls|pics)|horny|free porn|suck (?:my|his)|sit on (?:my|his)|hot (?:girls|women|singles|naked)|touch (?:my|your)self|sexual favo",
-}
-PHRASES = {c: re.compile(rf"\b(?:{p})\b") for c, p in _PHRASES.items()}
-
-
-def spellings(pattern: str) -> list[str]:
-    """What a pattern of literals, groups, alternatives, ``?`` and ``\\w+`` can match; a zero byte stands for any word."""
-    at = 0
-
-    def alternatives():
-        nonlocal at
-        out = sequence()
-        while at < len(pattern) and pattern[at] == "|":
-            at += 1
-            out = out + sequence()
-        return out
-
-    def sequence():
-        nonlocal at
-        out = [""]
-        while at < len(pattern) and pattern[at] not in "|)":
-            if pattern.startswith("(?:", at):
-                at += 3
-                atom = alternatives()
-                at += 1
-            elif pattern.startswith("\\w+", at):
-                atom = ["\0"]
-                at += 3
-            else:
-                atom = [pattern[at]]
-                at += 1
-            if pattern.startswith("?", at):
-                atom = atom + [""]
-                at += 1
-            out = [a + b for a in out for b in atom]
-        return out
-
-    return alternatives()
-
-
-@lru_cache(maxsize=1)
-def _pieces():
-    """An automaton over the longest literal piece of each spelling of each phrase, with the categories it may belong to."""
-    import ahocorasick
-
-    found: dict[str, set] = {}
-    for c, pattern in _PHRASES.items():
-        for s in spellings(pattern):
-            found.setdefault(max(s.split("\0"), key=len), set()).add(c)
-    a = ahocorasick.Automaton()
-    for piece, categories in found.items():
-        a.add_word(piece, frozenset(categories))
-    a.make_automaton()
-    return a
-
-
-def phrases(joined: str) -> dict[str, int]:
-    """How many phrases of each category there are, two at most."""
-    may = set()
-    for _, categories in _pieces().iter(joined):
-        may |= categories
-    return {c: min(2, len(p.findall(joined))) if c in may else 0 for c, p in PHRASES.items()}
-
 # fixed values: look-alike letters
 _ALIKE = str.maketrans(
     "аеорсухіјѕԁһӏкмтвнпгАВЕКМНОРСТУХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοειкνρτυχϲ",
@@ -133,361 +67,664 @@ _ALIKE = str.maketrans(
 )
 _LEET = str.maketrans("0134578@$", "oieastbas")
 _LEET_L = str.maketrans("0134578@$", "oleastbas")
-_HIDDEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁪-⁯ㅤ︀-️﻿]")
-_APART = re.compile(r"(?<![a-z0-9])(?:[a-z0-9@$][ .\-_]){2,}[a-z0-9@$](?![a-z0-9])")
+# fixed values: ranges of characters that don't show
+_HIDDEN = frozenset(chr(c) for a, b in ((0x00ad, 0x00ad), (0x034f, 0x034f), (0x061c, 0x061c), (0x115f, 0x115f), (0x1160, 0x1160), (0x17b4, 0x17b4), (0x17b5, 0x17b5), (0x180b, 0x180e), (0x200b, 0x200f), (0x202a, 0x202e), (0x2060, 0x2064), (0x206a, 0x206f), (0x3164, 0x3164), (0xfe00, 0xfe0f), (0xfeff, 0xfeff)) for c in range(a, b + 1))
 _STRETCH = re.compile(r"([a-z])\1{2,}")
-_TOKEN = re.compile(r"[a-z0-9@$]+(?:\*+[a-z0-9@$]+)*\*{0,3}|[^\W\d_a-z]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
-_QUOTED = re.compile(r"[\"“”«»`‘][^\"“”«»`’]{2,60}[\"“”«»`’]|(?<!\w)'[^']{2,60}'(?!\w)")
 
 SETS = {"insult": frozenset(INSULTS), "profanity": frozenset(PROFANITY), "threat": frozenset(THREATS), "group": frozenset(GROUPS), "degrade": frozenset(DEGRADES), "sexual": frozenset(SEXUAL)}
 _STRONG = SETS["insult"] | SETS["sexual"] | {"fuck", "fucking", "shit", "vermin", "subhuman", "subhumans", "kill", "klappe", "nudes", "versager"}
 _ALL = frozenset().union(*SETS.values())
 _TARGETS, _SECOND, _SELF, _TECHNICAL, _MENTIONS = map(frozenset, (TARGETS, SECOND, SELF, TECHNICAL, MENTIONS))
-_MASKS: dict[tuple[str, str, int], str] = {}
-for _w in sorted(_STRONG, key=lambda w: (w in SETS["profanity"], w)):
-    if len(_w) > 2:
-        _MASKS[_w[0], _w[-1], len(_w)] = _w
+LISTS = {**SETS, "target": _TARGETS, "second": _SECOND, "self": _SELF, "technical": _TECHNICAL, "mention": _MENTIONS}
+
+
+@lru_cache(maxsize=1)
+def _marks() -> frozenset:
+    """All combining marks."""
+    return frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c)))
+
+
+_LOOKS = frozenset(map(chr, _ALIKE))
+_MIXED = re.compile(r"\w+")
+
+
+def _without(text: str, unwanted: frozenset) -> str:
+    for c in unwanted.intersection(text):
+        text = text.replace(c, "")
+    return text
 
 
 def plain(text: str) -> str:
     """Lower case without accents, invisible characters and look-alikes."""
     if not text.isascii():
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+        text = _without(unicodedata.normalize("NFKC", text), _HIDDEN)
         if not text.isascii():
             # letters of another script count as look-alikes only in words that have Latin ones
-            text = re.sub(r"\w+", lambda m: m[0].translate(_ALIKE) if not m[0].isascii() and re.search("[A-Za-z]", m[0]) else m[0], text)
-            text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+            if not _LOOKS.isdisjoint(text):
+                text = _MIXED.sub(lambda m: m[0].translate(_ALIKE) if not m[0].isascii() and re.search("[A-Za-z]", m[0]) else m[0], text)
+            text = _without(unicodedata.normalize("NFD", text), _marks())
     return text.lower()
 
 
-def undisguise(word: str) -> tuple[str, bool]:
-    """A word taken back from digits, stretched letters and stars, and whether it was disguised as one of ours."""
-    if word in _ALL:
+class Known(NamedTuple):
+    """Words that a disguised one may stand for: those of the lists, and those that tell in the training sample."""
+
+    words: frozenset
+    masks: dict  # first letter, last letter and length -> words, in order
+    longest: int
+
+    @staticmethod
+    def of(learned: frozenset) -> Known:
+        masks: dict[tuple[str, str, int], list[str]] = {}
+        for w in sorted(_STRONG | learned, key=lambda w: (w not in _STRONG, w not in SETS["profanity"], w)):
+            if len(w) > 2:
+                masks.setdefault((w[0], w[-1], len(w)), []).append(w)
+        return Known(_ALL | learned, masks, max(map(len, _ALL | learned | _TARGETS)))
+
+
+def undisguise(word: str, known: Known) -> tuple[str, bool]:
+    """A word taken back from digits, stretched letters and stars, and whether it was disguised as a known one."""
+    if word in known.words:
+        return word, False
+    if (word.isalpha() or len(word) > known.longest and "*" not in word) and not _STRETCH.search(word):
         return word, False
     if "*" in word:
+        if word[-1] != "*" and word[0] != "*":
+            shape = re.compile(re.escape(word).replace(r"\*", ".") + "$")
+            hit = next((w for w in known.masks.get((word[0], word[-1], len(word)), ()) if shape.match(w)), None)
+            if hit:
+                return hit, True
         bare = word.strip("*")
-        hit = _MASKS.get((word[0], word[-1], len(word))) if word[-1] != "*" else None
-        if hit is None and "*" in bare:
-            pattern = re.compile(re.escape(bare).replace(r"\*", "[a-z]") + "$")
-            hit = next((w for w in sorted(_STRONG) if len(w) == len(bare) and pattern.match(w)), None)
-        return (hit, True) if hit else (word.replace("*", ""), False)
+        return (bare, True) if bare in known.words and len(bare) > 2 else (word.replace("*", ""), False)
     if word in _TARGETS:
         return word, False
     forms = [word]
     if any(c in "0134578@$" for c in word) and any(c.isalpha() for c in word):
         forms += [word.translate(_LEET), word.translate(_LEET_L)]
     for f in forms:
-        if f in _ALL:
+        if f in known.words:
             return f, f != word
         if _STRETCH.search(f):
             for g in (_STRETCH.sub(r"\1", f), _STRETCH.sub(r"\1\1", f)):
-                if g in _ALL:
+                if g in known.words:
                     return g, True
                 if g in _TARGETS:
                     return g, False
     return word, False
 
 
-_taken_back = lru_cache(maxsize=1 << 17)(undisguise)
-
-
-class Words(NamedTuple):
-    tokens: list[str]
-    disguised: int
-    quoted: frozenset  # words that stand in quotation marks
-
-
-def words_of(sentence: str) -> Words:
-    text = plain(sentence)
-    apart = 0
-
-    def close(m):
-        nonlocal apart
-        joined = re.sub(r"[ .\-_]", "", m[0])
-        found, _ = undisguise(joined)
-        if found in _STRONG:
-            apart += 1
-            return found
-        for k in range(3, len(joined) - 2):  # two words apart
-            a, b = joined[:k], joined[k:]
-            if a in _ALL and b in _ALL | _TARGETS or a in _TARGETS and b in _ALL:
-                apart += 1
-                return f"{a} {b}"
-        return m[0]
-
-    text = _APART.sub(close, text)
-    tokens, disguised = [], apart
-    for t in _TOKEN.findall(text):
-        if not t.isascii() and _CJK.match(t):
-            tokens += [w for n in (2, 3, 4) for k in range(len(t) - n + 1) if (w := t[k : k + n]) in _ALL] or [t]
-            continue
-        w, was = _taken_back(t)
-        disguised += was and w in _STRONG
-        tokens.append(w)
-    quoted = frozenset(w for q in _QUOTED.findall(text) for w in re.findall(r"\w+", q)) if not text.isascii() or '"' in text or "'" in text else frozenset()
-    return Words(tokens, disguised, quoted)
-
-
-FEATURES = (
-    "bias insult profanity sexual threat group degrade target second self technical mention quoted disguised insult_at profanity_at sexual_at threat_at group_degrade "
-    "p_insult p_threat p_hate p_sexual phrases profanity_tech strong grams"
-).split()
-_N = len(FEATURES)
-#: Weights before any label is seen; training starts from them and is drawn towards them.
-PRIOR = dict(
-    bias=-4.5, insult=2.6, profanity=0.6, sexual=1.2, threat=0.2, group=0.0, degrade=0.3, target=0.3, second=0.6, self=-0.4, technical=-0.6, mention=-1.0, quoted=-4.0, disguised=3.0, insult_at=2.0, profanity_at=2.0, sexual_at=0.8,
-    threat_at=1.2, group_degrade=1.5, p_insult=3.0, p_threat=3.5, p_hate=2.5, p_sexual=3.0, phrases=0.5, profanity_tech=-0.8, strong=0.8, grams=1.0,
-)
-
-
-def features(sentence: str, words: Words, grams: dict[str, float] | None = None) -> np.ndarray:
-    tokens = set(words.tokens)
-    open_ = tokens - words.quoted
-    hit = {name: len(tokens & s) for name, s in SETS.items()}
-    out = {name: len(open_ & s) for name, s in SETS.items()}
-    target = bool(tokens & _TARGETS) or "@" in sentence
-    second = bool(tokens & _SECOND) or "@" in sentence
-    own = bool(tokens & _SELF) and not second
-    joined = " ".join(words.tokens)
-    phrase = phrases(joined)
-    technical = min(3, len(tokens & _TECHNICAL))
-    quoted = bool(words.quoted & _STRONG) and not (open_ & _STRONG)
-    x = np.zeros(_N)
-    x[:] = (
-        1, min(2, out["insult"]), min(2, out["profanity"]), min(2, out["sexual"]), min(2, out["threat"]), out["group"] > 0, min(2, out["degrade"]), target, second, own, technical, min(2, len(tokens & _MENTIONS)), quoted,
-        min(2, words.disguised), bool(out["insult"] and second), bool(out["profanity"] and second), bool(out["sexual"] and (target or out["group"])), bool(out["threat"] and second), bool(out["group"] and out["degrade"]),
-        phrase["insult"], phrase["threat"], phrase["hate"], phrase["sexual"], sum(phrase.values()), bool(hit["profanity"] and technical), bool(open_ & _STRONG), gram_score(words.tokens, grams) if grams else 0.0,
-    )
-    return x
-
-
-def grams_of(tokens: list[str]) -> set[str]:
-    shown = ["#" if t[0].isdigit() else t for t in tokens]
-    return set(shown) | {f"{a} {b}" for a, b in zip(shown, shown[1:])}
-
-
-def gram_score(tokens: list[str], grams: dict[str, float]) -> float:
-    found = [grams[g] for g in grams_of(tokens) if g in grams]
-    return max(-6.0, min(6.0, sum(found) / (1 + len(tokens)) ** 0.5)) if found else 0.0
-
-
-def gram_weights(rows: list[tuple[list[str], int]]) -> dict[str, float]:
-    """Log-odds of words and pairs of words between toxic and other sentences."""
-    counts = (Counter(), Counter())
-    n = [0, 0]
-    for tokens, y in rows:
-        counts[y].update(grams_of(tokens))
-        n[y] += 1
-    if not n[0] or not n[1]:
-        return {}
-    out = {}
-    for g in counts[0] | counts[1]:
-        a, b = counts[1][g], counts[0][g]
-        if a + b < 2:
-            continue
-        w = np.log((a + 0.3) / (n[1] + 0.6)) - np.log((b + 0.3) / (n[0] + 0.6))
-        if abs(w) > 0.7:
-            out[g] = float(np.clip(w, -3, 3))
+#: Tokens: words, characters of other scripts, quotation marks, and ends of sentences.
+_TOKENS = re.compile(r"[a-z0-9@$*]+|[^\W\d_a-z]+|[\"“”«»`‘’]|\n|[.!?](?=[^\w@$*.!?\n]|_)|[。！？]")
+# for ASCII the same by plain replacements, several times as fast; a zero byte stands for a sentence's end
+_FIRST = str.maketrans({c: c if c.isalnum() or c in "@$*\".!?\n" else '"' if c == "`" else " " for c in map(chr, range(128))})
+_LAST = str.maketrans(".!?", "   ")
+_ENDS = frozenset("\0\n.!?。！？")
+_QUOTES = frozenset("\"“”«»`‘’")
+#: Tokens at most in one segment, and tokens by which the windows of a longer sentence go on.
+LONGEST, STEP = 60, 30
+#: Buckets for the character n-grams of unknown words.
+BUCKETS = 1 << 14
+
+
+def tokens_of(text: str) -> list[str]:
+    text = plain(text)
+    if not text.isascii():
+        return _TOKENS.findall(text)
+    text = text.translate(_FIRST)
+    for end in ".!?":
+        if end in text:
+            text = text.replace(f"{end} ", " \0 ").replace(f'{end}"', ' \0 "')
+    return text.replace("\n", " \0 ").replace('"', ' " ').translate(_LAST).split()
+
+
+_FLAGS = ("disguised", "masked", *LISTS)
+_BIT = {f: k for k, f in enumerate(_FLAGS)}
+#: Columns of lists: present, twice, and combinations.
+LIST_FEATURES = (*[f"{f}" for f in _FLAGS], *[f"{f}_twice" for f in SETS], "insult_at", "profanity_at", "sexual_at", "threat_at", "group_degrade", "profanity_technical")
+
+
+def _bits() -> dict[str, int]:
+    out: dict[str, int] = {}
+    for name, members in LISTS.items():
+        for w in members:
+            out[w] = out.get(w, 0) | 1 << _BIT[name]
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, weight: np.ndarray, strength: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Weights by Newton steps, drawn towards ``prior``."""
-    w = prior.copy()
+_LISTED = _bits()
+
+
+class Type(NamedTuple):
+    """What a token stands for: columns of the model, the number of its word for pairs (-1: none), and bits of its lists."""
+
+    columns: tuple
+    word: int
+    bits: int
+
+
+class Lexicon:
+    """Columns of the model: 0 is the bias, then those of lists, words, pairs of words, and buckets of n-grams."""
+
+    def __init__(self, words: dict[str, int], pairs: np.ndarray, known: Known):
+        self.words, self.pairs, self.known = words, pairs, known
+        self.first_word = 1 + len(LIST_FEATURES)
+        self.first_pair = self.first_word + len(words)
+        self.first_bucket = self.first_pair + len(pairs)
+        self.width = self.first_bucket + BUCKETS
+
+    def _word(self, token: str, bits: int) -> Type:
+        n = self.words.get(token)
+        return Type((), -1, bits) if n is None else Type((self.first_word + n,), n, bits)
+
+    def type_of(self, token: str) -> Type:
+        if token in _QUOTES:
+            return self._word('"', 0)
+        token = token.lstrip("*")
+        if not token:
+            return Type((), -1, 0)
+        if token.isdigit() or token in ("#", "#x"):
+            return self._word(token if token == "#x" else "#", 0)
+        was = False
+        if token not in self.known.words:
+            token, was = undisguise(token, self.known)
+        bits = _LISTED.get(token, 0)
+        if was:
+            bits |= 1 << _BIT["disguised"]
+        if token in self.words:
+            return self._word(token, bits)
+        if token[0] == "@":
+            return self._word("@", bits | 1 << _BIT["target"] | 1 << _BIT["second"])
+        if _CJK.match(token):  # no spaces between words: character n-grams, and words of the lists anywhere in it
+            parts = {token[k : k + n] for n in (1, 2, 3, 4) for k in range(len(token) - n + 1)}
+            for p in parts:
+                bits |= _LISTED.get(p, 0)
+            return Type(self._buckets({p for p in parts if len(p) in (2, 3)} or parts), -1, bits)
+        if "*" in token:
+            return self._word("*", bits | 1 << _BIT["masked"])
+        if not token.isalpha():
+            return self._word("#x", bits)
+        shown = f"<{token}>"
+        return Type(self._buckets({shown[k : k + 4] for k in range(max(1, len(shown) - 3))}), -1, bits)
+
+    def _buckets(self, grams: set[str]) -> tuple:
+        return tuple(sorted({self.first_bucket + zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams}))
+
+
+def _distinct(a: np.ndarray) -> np.ndarray:
+    a = np.sort(a)
+    return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
+
+
+class Encoded(NamedTuple):
+    """Segments of a batch of texts: of each its text, and where its tokens stand; distinct pairs (segment, type); pairs of
+    words (segment, column); bits of lists by segment."""
+
+    text: np.ndarray
+    spans: np.ndarray  # segments by 2: first token and one after the last, in the text's tokens
+    type_seg: np.ndarray
+    type_no: np.ndarray
+    pair_seg: np.ndarray
+    pair_col: np.ndarray
+    lists: np.ndarray  # segments by LIST_FEATURES, boolean
+
+
+class _Numbers(dict):
+    def __init__(self, new, longest: int):
+        super().__init__(dict.fromkeys(_ENDS, 0))
+        self.new, self.longest = new, longest
+
+    def __missing__(self, token: str) -> int:
+        # numbers and long mixtures, of which there is no end, stand for one another
+        if len(token) > 1 and token.isdigit():
+            return self["#"]
+        if len(token) > self.longest and token.isascii() and not token.isalpha() and "*" not in token and token[0] != "@" and not _STRETCH.search(token):
+            return self["#x"]
+        n = self[token] = self.new(token)
+        return n
+
+
+class Encoder:
+    """Turns texts into segments. Types are numbered as they come; ``types`` has them in that order."""
+
+    #: Types kept at most; beyond that the table starts anew, which costs time only.
+    KEPT = 400_000
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self._clear()
+
+    def _clear(self) -> None:
+        self.times_cleared = getattr(self, "times_cleared", -1) + 1
+        self.numbers = _Numbers(self._number, max(self.lexicon.known.longest, max(map(len, self.lexicon.words), default=0)))
+        self.apart: dict[str, list] = {}
+        self.names: list[str] = ["\n"]
+        self.types: list[Type] = [Type((), -1, 0)]
+        self.columns = np.zeros((0, 3), np.int64)  # word, bits, and whether it is a single letter, by type
+
+    def _number(self, token: str) -> int:
+        self.names.append(token)
+        self.types.append(self.lexicon.type_of(token))
+        return len(self.types) - 1
+
+    def _of_types(self) -> np.ndarray:
+        done = len(self.columns)
+        if done < len(self.types):
+            new = [(t.word, t.bits, len(name) == 1 and name.isascii() and (name.isalnum() or name in "@$")) for t, name in zip(self.types[done:], self.names[done:])]
+            self.columns = np.concatenate([self.columns, np.array(new, np.int64)])
+        return self.columns
+
+    def stream(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Types of all tokens with a sentence's end after each text, the place of each among the tokens as read, and where
+        the texts begin. Letters apart count as one token where they give a known word."""
+        if len(self.types) > self.KEPT:
+            self._clear()
+        number = self.numbers.__getitem__
+        ids, starts = [], []
+        for t in texts:
+            starts.append(len(ids))
+            ids.extend(map(number, tokens_of(t)))
+            ids.append(0)
+        ids = np.array(ids, np.int64)
+        place = np.arange(len(ids))
+        single = np.concatenate(([0], self._of_types()[ids, 2], [0]))
+        edge = np.flatnonzero(single[1:] != single[:-1])
+        gone = np.zeros(len(ids), bool)
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if b - a > 2:
+                self._close(ids, gone, a, b)
+        keep = ~gone
+        return ids[keep], place[keep], np.array(starts, np.int64)
+
+    def _close(self, ids: np.ndarray, gone: np.ndarray, a: int, b: int) -> None:
+        letters = "".join([self.names[k] for k in ids[a:b].tolist()])
+        found = self.apart.get(letters)
+        if found is None:
+            found = self._words_in(letters)
+            if len(letters) < 30 and len(self.apart) < self.KEPT:
+                self.apart[letters] = found
+        for at, end, word in found:
+            ids[a + at] = self.numbers[word]
+            gone[a + at + 1 : a + end] = True
+
+    def _words_in(self, letters: str) -> list[tuple[int, int, str]]:
+        """The longest known words in a run of single letters, from left to right."""
+        known, out, at = self.lexicon.known, [], 0
+        while at < len(letters) - 2:
+            for end in range(min(len(letters), at + 24), at + 2, -1):
+                found, _ = undisguise(letters[at:end], known)
+                if found in known.words and (end - at > 3 or found in _STRONG):
+                    out.append((at, end, f"{found}*"))  # a star: it was disguised
+                    at = end
+                    break
+            else:
+                at += 1
+        return out
+
+    def segments(self, ids: np.ndarray, place: np.ndarray, starts: np.ndarray):
+        """Of each segment its text and its tokens; of each token of a segment its segment and type."""
+        ends = np.flatnonzero(ids == 0)
+        begin = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else np.zeros(0, np.int64)
+        keep = ends > begin
+        begin, ends = begin[keep], ends[keep]
+        # a long sentence becomes windows
+        size = ends - begin
+        n_win = np.where(size > LONGEST, (np.maximum(size - LONGEST, 0) + STEP - 1) // STEP + 1, 1)
+        which = np.repeat(np.arange(len(begin)), n_win)
+        nth = np.arange(len(which)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
+        a = begin[which] + nth * STEP
+        b = np.minimum(a + LONGEST, ends[which])
+        text = np.searchsorted(starts, place[a], side="right") - 1
+        lens = b - a
+        seg = np.repeat(np.arange(len(a)), lens)
+        tok = ids[np.arange(len(seg)) + np.repeat(a - (np.cumsum(lens) - lens), lens)]
+        spans = np.stack([place[a] - starts[text], place[b - 1] + 1 - starts[text]], 1) if len(a) else np.zeros((0, 2), np.int64)
+        return text, spans, seg, tok
+
+    def pairs(self, seg: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segment and number of each pair of known words that are neighbours."""
+        w = self._of_types()[tok, 0]
+        near = (seg[1:] == seg[:-1]) & (w[1:] >= 0) & (w[:-1] >= 0)
+        return seg[1:][near], w[:-1][near] * max(1, len(self.lexicon.words)) + w[1:][near]
+
+    def encode(self, texts: list[str]) -> Encoded:
+        return self.encoded(*self.segments(*self.stream(texts)))
+
+    def encoded(self, text: np.ndarray, spans: np.ndarray, seg: np.ndarray, tok: np.ndarray) -> Encoded:
+        n = len(self.types)
+        both = _distinct(seg * n + tok)
+        type_seg, type_no = both // n, both % n
+        key_seg, key = self.pairs(seg, tok)
+        pairs = self.lexicon.pairs
+        pair_seg = pair_col = np.zeros(0, np.int64)
+        if len(pairs):
+            place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            hit = pairs[place] == key
+            found = _distinct(key_seg[hit] * len(pairs) + place[hit])
+            pair_seg, pair_col = found // len(pairs), found % len(pairs) + self.lexicon.first_pair
+        return Encoded(text, spans, type_seg, type_no, pair_seg, pair_col, self._lists(len(text), type_seg, self._of_types()[type_no, 1]))
+
+    @staticmethod
+    def _lists(n_seg: int, seg: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        some = bits > 0
+        seg, bits = seg[some], bits[some]
+        count = {f: np.bincount(seg[(bits >> k) & 1 > 0], minlength=n_seg) for f, k in _BIT.items()}
+        on = {f: c > 0 for f, c in count.items()}
+        second = on["second"]
+        extra = (
+            on["insult"] & second, on["profanity"] & second, on["sexual"] & (on["target"] | on["group"]), on["threat"] & second, on["group"] & on["degrade"], on["profanity"] & on["technical"],
+        )
+        return np.stack([*on.values(), *[count[f] > 1 for f in SETS], *extra], 1) if n_seg else np.zeros((0, len(LIST_FEATURES)), bool)
+
+
+class Rows(NamedTuple):
+    """A sparse matrix of zeros and ones, row by row; no row is empty, as each has the bias."""
+
+    row: np.ndarray
+    col: np.ndarray
+    start: np.ndarray
+    width: int
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[self.col], self.start)
+
+    def only(self, rows: np.ndarray) -> Rows:
+        """The rows for which ``rows`` is true."""
+        keep = rows[self.row]
+        row = (np.cumsum(rows) - 1)[self.row[keep]]
+        return Rows(row, self.col[keep], np.searchsorted(row, np.arange(int(rows.sum()))), self.width)
+
+    def transposed(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, weights=r[self.row], minlength=self.width)
+
+
+def rows_of(e: Encoded, types: list[Type], width: int) -> Rows:
+    n = len(e.text)
+    of_type = [np.array(t.columns, np.int64) for t in types]
+    sizes = np.array([len(c) for c in of_type], np.int64)
+    parts = [(np.arange(n), np.zeros(n, np.int64)), tuple(np.nonzero(e.lists)), (e.pair_seg, e.pair_col)]
+    parts[1] = (parts[1][0], parts[1][1] + 1)
+    flat = np.concatenate(of_type) if of_type else np.zeros(0, np.int64)
+    offset = np.cumsum(sizes) - sizes
+    reps = sizes[e.type_no]
+    nth = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    parts.append((np.repeat(e.type_seg, reps), flat[np.repeat(offset[e.type_no], reps) + nth] if len(nth) else np.zeros(0, np.int64)))
+    row, col = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    both = _distinct(row * width + col)
+    row, col = both // width, both % width
+    return Rows(row, col, np.searchsorted(row, np.arange(n)), width)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    """Without the threads that a library would start for it."""
+    return float((a * b).sum())
+
+
+def _times(dense: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return sum((dense[:, k] * w[k] for k in range(len(w))), np.zeros(len(dense)))
+
+
+def logistic(x: Rows, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float, steps: int = 40, begin: np.ndarray | None = None, memory: int = 8) -> np.ndarray:
+    """Weights of a logistic regression with a squared penalty, none on the bias, by limited-memory quasi-Newton steps.
+    ``dense`` has further columns."""
+    d = x.width
+    penalty = np.full(d + dense.shape[1], strength)
+    penalty[0] = 1e-3
+
+    def loss(w):
+        z = np.clip(x.times(w[:d]) + _times(dense, w[d:]), -30, 30)
+        p = 1 / (1 + np.exp(-z))
+        r = weight * (p - y)
+        value = _dot(weight, np.log1p(np.exp(z)) - y * z) + 0.5 * _dot(penalty, w * w)
+        return value, np.concatenate([x.transposed(r), (dense * r[:, None]).sum(0)]) + penalty * w
+
+    w = np.zeros(d + dense.shape[1])
+    rate = float(np.clip(_dot(weight, y) / max(weight.sum(), 1e-9), 1e-6, 1 - 1e-6))
+    w[0] = np.log(rate / (1 - rate))
+    if begin is not None:
+        w[: len(begin)] = begin
+    value, grad = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + strength * (w - prior)
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-4:
+        q, a = grad.copy(), []
+        for s, g, rho in reversed(past):
+            a.append(rho * _dot(s, q))
+            q -= a[-1] * g
+        q *= _dot(past[-1][0], past[-1][1]) / _dot(past[-1][1], past[-1][1]) if past else 1 / max(1.0, np.abs(grad).max())
+        for (s, g, rho), k in zip(past, reversed(a)):
+            q += s * (k - rho * _dot(g, q))
+        slope, size = _dot(grad, q), 1.0
+        while size > 1e-6:
+            new = w - size * q
+            new_value, new_grad = loss(new)
+            if new_value <= value - 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        s, g = new - w, new_grad - grad
+        if (sg := _dot(s, g)) > 1e-12:
+            past = [*past, (s, g, 1 / sg)][-memory:]
+        done = value - new_value < 1e-4 * max(1.0, abs(value))
+        w, value, grad = new, new_value, new_grad
+        if done:
             break
     return w
 
 
-def _prior(category: str, links: int) -> np.ndarray:
-    w = np.array([PRIOR[f] for f in FEATURES] + [0.0] * links)
-    if category != "toxic":
-        for k, f in enumerate(FEATURES):
-            if f != "bias" and f not in ("quoted", "technical", "mention"):
-                w[k] *= 0.3
-        own = {"insult": ("p_insult", "insult", "insult_at"), "threat": ("p_threat", "threat_at"), "hate": ("p_hate", "group_degrade"), "sexual": ("p_sexual", "sexual", "sexual_at")}[category]
-        for f in own:
-            w[FEATURES.index(f)] += 2.0
-    else:
-        w[len(FEATURES) :] = 0.8
-    return w
+class Chain(NamedTuple):
+    words: dict
+    pairs: np.ndarray
+    learned: frozenset  # words that tell, which a disguise may hide
+    weights: np.ndarray  # columns by categories
+    links: tuple  # of each category the weights of the probabilities before it
+    threshold: float
+
+    def lexicon(self) -> Lexicon:
+        return Lexicon(self.words, self.pairs, Known.of(self.learned))
+
+
+#: Of words and pairs those that stand in at least so many labelled documents are features of their own.
+LEAST = 2
+#: Of so many ordinary segments without words of the lists one stands for all in the models of the categories.
+ORDINARY = 8
+#: Strength of the penalty, and rounds in which the sentences of toxic documents are told apart.
+STRENGTH, ROUNDS, FOLDS = 0.5, 3, 3
+
+
+def _telling(docs: list[set[str]], label: np.ndarray) -> tuple[dict[str, int], frozenset]:
+    """Words of at least LEAST documents, and those of them that are far more common in toxic ones."""
+    bad: dict[str, int] = {}
+    all_: dict[str, int] = {}
+    for tokens, y in zip(docs, label):
+        for t in tokens:
+            all_[t] = all_.get(t, 0) + 1
+            if y:
+                bad[t] = bad.get(t, 0) + 1
+    words = sorted(t for t, n in all_.items() if n >= LEAST and t and t[0] not in "*@" and "*" not in t and t not in _ENDS and t not in _QUOTES and not t.isdigit() and not _CJK.match(t))
+    n_bad, n = int(label.sum()), len(label)
+    odds = lambda t: np.log((bad.get(t, 0) + 0.5) / (n_bad + 1)) - np.log((all_[t] - bad.get(t, 0) + 0.5) / (n - n_bad + 1))
+    learned = frozenset(t for t in words if len(t) > 3 and t.isalpha() and bad.get(t, 0) >= 3 and odds(t) > 2)
+    return {t: k for k, t in enumerate(['"', "#", "#x", "@", "*", *words])}, learned
+
+
+def _folds(docs: np.ndarray) -> np.ndarray:
+    return np.array([zlib.crc32(str(d).encode()) % FOLDS for d in docs])
+
+
+def _out_of_fold(x: Rows, dense: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, steps: int, begin: list | None = None) -> tuple[np.ndarray, list]:
+    """For each row what a model says that hasn't seen its fold, and these models. ``begin`` has models that haven't seen
+    the folds either."""
+    out, models = np.zeros(len(y)), []
+    for k in range(FOLDS):
+        w = logistic(x, dense, y, weight * (fold != k), STRENGTH, steps, begin[k] if begin else None)
+        out[fold == k] = (x.times(w[: x.width]) + _times(dense, w[x.width :]))[fold == k]
+        models.append(w)
+    return out, models
+
+
+def _best_of(groups: np.ndarray, n: int, z: np.ndarray) -> np.ndarray:
+    out = np.full(n, -np.inf)
+    np.maximum.at(out, groups, z)
+    return out
 
 
-class Chain(NamedTuple):
-    weights: tuple  # an array for each category
-    grams: dict
-    cues: tuple
-
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """x: sentences by features; returns sentences by categories."""
-        probs = np.zeros((len(x), 0))
-        for w in self.weights:
-            z = np.hstack([x, probs]) @ w
-            probs = np.hstack([probs, (1 / (1 + np.exp(-np.clip(z, -30, 30))))[:, None]])
-        return probs
-
-
-def _fires(x: np.ndarray, category: str) -> np.ndarray:
-    at = {f: x[:, FEATURES.index(f)] > 0 for f in FEATURES}
-    return {
-        "insult": at["p_insult"] | at["insult"] | at["profanity_at"],
-        "threat": at["p_threat"] | at["threat_at"],
-        "hate": at["p_hate"] | at["group_degrade"],
-        "sexual": at["p_sexual"] | at["sexual"],
-        "toxic": np.ones(len(x), bool),
-    }[category]
-
-
-def train(rows: list[tuple[int, int, str, float]], cues: list[str], folds: int = 3, rounds: int = 3) -> Chain:
-    """rows: doc_id, label of the document (0 or 1), sentence, log-odds of its learned cues. In a toxic document the
-    sentences that look most toxic count as toxic, the others are left out; that is repeated with the trained chain."""
-    sets = [words_of(s) for _, _, s, _ in rows]
-    base = np.array([features(s, w) for (_, _, s, _), w in zip(rows, sets)]) if rows else np.zeros((0, _N))
-    docs = np.array([r[0] for r in rows], dtype=np.int64)
-    label = np.array([r[1] for r in rows], dtype=np.int64)
-    learned = np.array([r[3] for r in rows])
-    chain = Chain(tuple(_prior(c, k) for k, c in enumerate(CATEGORIES)), {}, tuple(cues))
-    if not len(rows) or not label.any() or label.all():
-        return chain
-    fold = (docs * 2654435761 % 1000003) % folds
-    w_toxic = chain.weights[-1]
-    logit = base @ w_toxic[:_N] + np.clip(learned, 0, 4)
-    trusted = np.ones(len(rows), bool)
-    for number in range(rounds):
-        # of a toxic document the most toxic sentence, if it is credible at all: some labels are wrong
-        best = np.zeros(len(rows), bool)
-        seen = set()
-        for i in np.argsort(-logit, kind="stable"):
-            if label[i] and docs[i] not in seen and logit[i] > CREDIBLE:
-                seen.add(docs[i])
-                best[i] = True
-        y = best | ((label == 1) & (logit > 1.0))
-        if number:
-            trusted = ~((label == 0) & (logit > DOUBTED))
-        use = (y | (label == 0)) & trusted
-        weight = use.astype(float)
-        x = base.copy()
-        g = FEATURES.index("grams")
-        full = gram_weights([(sets[i].tokens, int(y[i])) for i in np.flatnonzero(use)])
-        for k in range(folds):
-            part = gram_weights([(sets[i].tokens, int(y[i])) for i in np.flatnonzero(use & (fold != k))])
-            for i in np.flatnonzero(fold == k):
-                x[i, g] = gram_score(sets[i].tokens, part)
-        probs = np.zeros((len(rows), 0))
-        weights = []
-        for link, c in enumerate(CATEGORIES):
-            target = (y & _fires(base, c)).astype(float)
-            z = np.hstack([x, probs])
-            prior = _prior(c, link)
-            weights.append(logistic(z, target, prior, weight))
-            out = np.zeros(len(rows))
-            for k in range(folds):
-                w = logistic(z, target, prior, weight * (fold != k))
-                out[fold == k] = 1 / (1 + np.exp(-np.clip(z[fold == k] @ w, -30, 30)))
-            probs = np.hstack([probs, out[:, None]])
-        chain = Chain(tuple(weights), full, tuple(cues))
-        p = np.clip(probs[:, -1], 1e-9, 1 - 1e-9)
-        logit = np.log(p / (1 - p))
-    return chain
-
-
-#: Log-odds below which a toxic document's most toxic sentence counts as a wrong label, and above which a sentence of a
-#: harmless document does.
-CREDIBLE, DOUBTED = -1.5, 4.0
-
-_SENTENCE = re.compile(r"(?<=[.!?。！？])[\s\"')\]]+")
-#: Characters by which windows of a line without sentences go on and overlap.
-AROUND = 200
-
-
-def sentences(text: str) -> list[str]:
-    """All sentences of a text, each once. A longer line without sentences gives windows that overlap by AROUND."""
-    out = {}
-    for line in text.split("\n"):
-        for s in _SENTENCE.split(line) if len(line) > 60 else (line,):
-            if len(s) <= 3 * AROUND:
-                out[s.strip()] = True
-                continue
-            for a in range(0, len(s) - AROUND, AROUND):
-                # whole words, unless one is longer than 50 characters
-                b = a + 2 * AROUND
-                start = max(s.rfind(" ", max(0, a - 50), a), 0) if a and s.find(" ", max(0, a - 50), a) >= 0 else a
-                end = s.find(" ", b, b + 50)
-                out[s[start : b if end < 0 else end].strip()] = True
-    out.pop("", None)
-    return list(out)
-
-
-def speaks(words: Words, learned: frozenset) -> bool:
-    """Whether a sentence has a word of the lists, a learned word, a phrase or a disguise."""
-    return words.disguised > 0 or not _ALL.isdisjoint(words.tokens) or not learned.isdisjoint(words.tokens) or any(phrases(" ".join(words.tokens)).values())
-
-
-#: Of so many sentences that don't speak one is trained on.
-ORDINARY = 32
-
-
-def spoken(text: str, learned: frozenset) -> list[tuple[str, Words]]:
-    """The sentences of a text to train on: those that speak, and by a hash some of the others to tell them from."""
-    return [(s, w) for s in sentences(text) if speaks(w := words_of(s), learned) or zlib.crc32(s.encode("utf-8", "replace")) % ORDINARY == 0]
+def train(docs: list[tuple[int, int, str]]) -> Chain | None:
+    """docs: doc_id, label (0 or 1), text. Labels are of documents; which sentences of a toxic document are toxic is
+    inferred: at first all count a little, then those that models which haven't seen the document find most toxic. Labels
+    that such models contradict strongly are left out. None without labels of both kinds."""
+    docs = sorted({d[0]: d for d in docs if d[2]}.values())
+    label = np.array([d[1] for d in docs], np.int64)
+    if not len(docs) or not label.any() or label.all():
+        return None
+    none = Known.of(frozenset())
+    back = lru_cache(maxsize=1 << 18)(lambda t: t if t in _ENDS else undisguise(t, none)[0])
+    texts = [d[2] for d in docs]
+    words, learned = _telling([set(map(back, set(tokens_of(t)))) for t in texts], label)
+    known = Known.of(learned)
+    encoder = Encoder(Lexicon(words, np.zeros(0, np.int64), known))
+    found = encoder.segments(*encoder.stream(texts))
+    pairs = _pairs(encoder, *found)
+    lexicon = Lexicon(words, pairs, known)
+    encoder.lexicon = lexicon
+    encoder.types = [lexicon.type_of(t) if k else encoder.types[0] for k, t in enumerate(encoder.names)]  # buckets come after the pairs
+    e = encoder.encoded(*found)
+    x = rows_of(e, encoder.types, lexicon.width)
+    of = e.text
+    fold = _folds(np.array([d[0] for d in docs]))[of]
+    bad = label[of] == 1
+    alone = np.zeros((len(of), 0))
+    y, weight = bad.astype(float), np.where(bad, 1 / np.sqrt(np.bincount(of, minlength=len(docs))[of]), 1.0)
+    z, models = _out_of_fold(x, alone, y, weight, fold, 15)
+    for number in range(ROUNDS):
+        top = _best_of(of, len(docs), z)
+        usual = np.quantile(top[(label == 0) & np.isfinite(top)], [0.5, 0.9]) if ((label == 0) & np.isfinite(top)).any() else np.array([-9.0, -9.0])
+        credible = top > usual[1]
+        y = (bad & credible[of] & ((z >= top[of]) | (z > 0.5))).astype(float)
+        if not y.any():
+            y = (bad & (z >= top[of])).astype(float)
+        # what a toxic document has besides counts as ordinary if it looks so; a harmless document's sentence that looks toxic is left out
+        weight = np.where(bad, (y > 0) | (z < usual[0]), z < 3.0).astype(float)
+        if number < ROUNDS - 1:
+            z, models = _out_of_fold(x, alone, y, weight, fold, 10, models)
+    at = {f: e.lists[:, k] for k, f in enumerate(LIST_FEATURES)}
+    fires = {"insult": at["insult"] | at["profanity_at"], "threat": at["threat_at"], "hate": at["group_degrade"], "sexual": at["sexual"]}
+    # for the categories, ordinary segments without any word of the lists are represented by one of ORDINARY
+    listed = e.lists[:, [_BIT[f] for f in SETS]].any(1) | (y > 0)
+    drawn = listed | (np.arange(len(of)) % ORDINARY == 0)
+    part, part_weight = x.only(drawn), (weight * np.where(listed, 1, ORDINARY))[drawn]
+    probs, weights, links = np.zeros((len(of), 0)), [], []
+    for c in CATEGORIES[:-1]:
+        target = (y * fires[c])[drawn]
+        w = logistic(part, probs[drawn], target, part_weight, STRENGTH, 20)
+        weights.append(w[: x.width])
+        links.append(tuple(w[x.width :]))
+        _, held = _out_of_fold(part, probs[drawn], target, part_weight, fold[drawn], 12)
+        z = np.zeros(len(of))
+        for k, m in enumerate(held):
+            z[fold == k] = (x.times(m[: x.width]) + _times(probs, m[x.width :]))[fold == k]
+        probs = np.hstack([probs, _sigmoid(z)[:, None]])
+    w = logistic(x, probs, y, weight, STRENGTH, 30, sum(models) / FOLDS)
+    weights.append(w[: x.width])
+    links.append(tuple(w[x.width :]))
+    z, _ = _out_of_fold(x, probs, y, weight, fold, 15, models)
+    top = _best_of(of, len(docs), _sigmoid(z))
+    return Chain(words, pairs, learned, np.stack(weights, 1).astype(np.float32), tuple(links), _threshold(np.where(np.isfinite(top), top, 0.0), label))
+
+
+def _pairs(encoder: Encoder, text: np.ndarray, spans: np.ndarray, seg: np.ndarray, tok: np.ndarray) -> np.ndarray:
+    """Pairs of known words in at least LEAST of the texts, in order."""
+    seg, key = encoder.pairs(seg, tok)
+    keys, n = np.unique(key, return_inverse=True)
+    both = _distinct(text[seg] * max(1, len(keys)) + n)
+    return keys[np.bincount(both % max(1, len(keys)), minlength=len(keys)) >= LEAST] if len(keys) else keys.astype(np.int64)
+
+
+def _threshold(score: np.ndarray, label: np.ndarray) -> float:
+    """The score from which documents are flagged: where F1 is within a hundredth of the best on documents that the models haven't
+    seen, as near to one half as that allows and between 0.3 and 0.7."""
+    order = np.argsort(-score, kind="stable")
+    s, hits = score[order], np.cumsum(label[order])
+    f1 = 2 * hits / (np.arange(1, len(s) + 1) + label.sum())
+    f1[:-1][s[:-1] == s[1:]] = 0  # equal scores stand together
+    good = s[f1 >= 0.99 * f1.max()]
+    return float(np.clip(np.clip(0.5, good.min(), good.max()), 0.3, 0.7))
 
 
 class Scorer:
-    """Scores texts with a chain. Sentences seen before come from a table of bounded size."""
+    """Scores texts with a chain; without one nothing is toxic."""
 
-    KEPT, AT_ONCE = 100_000, 200
+    #: Characters at most that are encoded at once, unless one text has more.
+    AT_ONCE = 1 << 20
 
-    def __init__(self, chain: Chain):
+    def __init__(self, chain: Chain | None):
         self.chain = chain
-        self.learned = frozenset(chain.cues)
-        self.known: dict[str, tuple] = {}
-
-    def learn(self, new: list[str]) -> None:
-        """Probabilities of new sentences."""
-        rows, which = [], []
-        for s in new:
-            w = words_of(s)
-            # without anything that speaks for toxicity the chain needn't run
-            if not speaks(w, self.learned) and gram_score(w.tokens, self.chain.grams) <= 0:
-                self.known[s] = _NOTHING
-                continue
-            x = features(s, w, self.chain.grams)
-            if x[1:7].any() or x[13] or x[19:24].any() or x[-1] > 0:
-                rows.append(x)
-                which.append(s)
-            else:
-                self.known[s] = _NOTHING
-        if rows:
-            self.known.update(zip(which, map(tuple, self.chain.probabilities(np.array(rows)))))
+        if chain is not None:
+            self.encoder = Encoder(chain.lexicon())
+            self.of_types, self.of_clearing = np.zeros((0, len(CATEGORIES)), np.float32), 0
+
+    def _weights(self) -> np.ndarray:
+        """Of each type the sum of its columns' weights."""
+        types = self.encoder.types
+        if self.of_clearing != self.encoder.times_cleared:
+            self.of_types, self.of_clearing = self.of_types[:0], self.encoder.times_cleared
+        new = types[len(self.of_types) :]
+        if new:
+            sizes = np.array([len(t.columns) for t in new])
+            row = np.repeat(np.arange(len(new)), sizes)
+            w = self.chain.weights[np.array([c for t in new for c in t.columns], np.int64)]
+            self.of_types = np.vstack([self.of_types, np.stack([np.bincount(row, weights=w[:, k], minlength=len(new)) for k in range(w.shape[1])], 1).astype(np.float32)])
+        return self.of_types
+
+    def segments(self, texts: list[str]) -> tuple[Encoded, np.ndarray]:
+        """Probabilities of the categories by segment."""
+        e = self.encoder.encode(texts)
+        w, n = self.chain.weights, len(e.text)
+        of_type, z = self._weights(), np.zeros((n, len(CATEGORIES)))
+        z += w[0] + e.lists @ w[1 : 1 + len(LIST_FEATURES)]
+        for k in range(len(CATEGORIES)):
+            z[:, k] += np.bincount(e.type_seg, weights=of_type[e.type_no, k], minlength=n) + np.bincount(e.pair_seg, weights=w[e.pair_col, k], minlength=n)
+        probs = np.zeros((n, 0))
+        for k, link in enumerate(self.chain.links):
+            probs = np.hstack([probs, _sigmoid(z[:, k] + probs @ np.array(link))[:, None]])
+        return e, probs
 
     def texts(self, texts: list[str | None]) -> list[tuple[tuple, str]]:
-        """Of each text the probabilities of the categories, of each its greatest over the sentences, and the most toxic
-        sentence."""
-        out = []
-        for at in range(0, len(texts), self.AT_ONCE):
-            split = [sentences(t) if t else [] for t in texts[at : at + self.AT_ONCE]]
-            if len(self.known) > self.KEPT:
-                self.known.clear()
-            self.learn([s for s in dict.fromkeys(s for found in split for s in found) if s not in self.known])
-            for found in split:
-                best, worst = list(_NOTHING), ""
-                for s in found:
-                    p = self.known[s]
-                    if p is _NOTHING:
-                        continue
-                    if p[-1] > best[-1]:
-                        worst = s
-                    best = [max(a, b) for a, b in zip(best, p)]
-                out.append((tuple(best), worst))
+        """Of each text the probabilities of the categories, of each its greatest over the segments, and the most toxic
+        segment as it reads without disguise."""
+        out: list[tuple[tuple, str]] = [(_NOTHING, "")] * len(texts)
+        if self.chain is None:
+            return out
+        batch, size = [], 0
+        for k, t in enumerate(texts):
+            if t:
+                batch.append(k)
+                size += len(t)
+            if batch and (size >= self.AT_ONCE or k == len(texts) - 1):
+                self._some([texts[b] for b in batch], batch, out)
+                batch, size = [], 0
+        if batch:
+            self._some([texts[b] for b in batch], batch, out)
         return out
 
+    def _some(self, texts: list[str], places: list[int], out: list) -> None:
+        e, probs = self.segments(texts)
+        if not len(e.text):
+            return
+        first = np.flatnonzero(np.concatenate(([True], e.text[1:] != e.text[:-1])))
+        best = np.maximum.reduceat(probs, first)
+        for row, seg, end in zip(best.tolist(), first.tolist(), [*first[1:].tolist(), len(probs)]):
+            t = int(e.text[seg])
+            shown = ""
+            if row[-1] > self.chain.threshold / 2:
+                a, b = e.spans[seg + int(np.argmax(probs[seg:end, -1]))]
+                shown = " ".join(tokens_of(texts[t])[a:b])
+            out[places[t]] = (tuple(row), shown)
+
     def text(self, text: str | None) -> tuple[tuple, str]:
         return self.texts([text])[0]
 
