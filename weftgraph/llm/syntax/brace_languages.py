@@ -5,11 +5,11 @@ from __future__ import annotations
 
 import re
 
-from weftgraph.llm.syntax.parser import ARGS, END, Fail, Parser
+from weftgraph.llm.syntax.parser import ARGS, END, PARENS, Fail, Parser, compiled
 
 _LEVELS = {"=": 0, "a": 0, "?": 0, "1": 1, "2": 2, "3": 3, "|": 4, "^": 4, "&": 4, "5": 5, "6": 6, "<": 6, ">": 6, "7": 7, "+": 8, "-": 8, "*": 9, "9": 9}
 
-_P3 = r"\((?:[^()\0]|\((?:[^()\0]|\([^()\0]*\))*\))*\)"
+_P3 = PARENS
 _ATTR = rf"(?:@{_P3}|\[\[[^\0]*?\]\])"
 _NAME = rf"(?:d?(?:!?i(?:{ARGS})?d)*(?:T?[!~]?i(?:{ARGS}(?=[(d{{*&ri>,;)=\[]))?|O(?:\(\)|\[\]|[BQi*&]+|[^\s(\0]{{1,2}}))|[*]?d)"
 _HEAD = rf"(?:Q|{_ATTR}|e)*(?:B(?:{_P3})?(?:[QB]|{_ATTR})*|A(?:{_ATTR}|Q)*A?{_NAME}?|{_NAME})(?:[Q*&re]|{_ATTR})*"
@@ -19,13 +19,13 @@ class C(Parser):
     BINARY = _LEVELS | {"r": 3, ",": 0}
     PREFIX = frozenset("+-!~*&ur")
     TRAILING = False
-    _head = re.compile(rf"{_HEAD}(?:{_NAME}(?:[Q*&re]|{_ATTR})*){{0,2}}")
-    _param = re.compile(rf"(?:Y|{_HEAD}(?:{_NAME}(?:[Q*&re]|{_ATTR})*)?)(?=[,)=\[(:])")
-    _declares = re.compile(rf"(?:[QBAY]|{_ATTR}|{_NAME}[*&rQ]*{_NAME}[;=,\[({{:])")
-    _type = re.compile(rf"{_HEAD}(?:\[[^\]]*\])*(?=[),>;])")
-    _cast = re.compile(rf"\((?:(?:Q|A|B)[^()\0]*(?:\(\*\){_P3})?|{_NAME}(?:[Q*&r])*)\)")
-    _args = re.compile(ARGS)
-    _designator = re.compile(r"(?:\.i|\[[^\[\]\0]*\])+=")
+    _head = compiled(rf"{_HEAD}(?:{_NAME}(?:[Q*&re]|{_ATTR})*){{0,2}}")
+    _param = compiled(rf"(?:Y|{_HEAD}(?:{_NAME}(?:[Q*&re]|{_ATTR})*)?)(?=[,)=\[(:])")
+    _declares = compiled(rf"(?:[QBAY]|{_ATTR}|{_NAME}[*&rQ]*{_NAME}[;=,\[({{:])")
+    _type = compiled(rf"{_HEAD}(?:\[[^\]]*\])*(?=[),>;])")
+    _cast = compiled(rf"\((?:(?:Q|A|B)[^()\0]*(?:\(\*\){_P3})?|{_NAME}(?:[Q*&r])*)\)")
+    _args = compiled(ARGS)
+    _designator = compiled(r"(?:\.i|\[[^\[\]\0]*\])+=")
     _operand = frozenset("insc(!~{BKUW[udO-+*&")
 
     def argument(self):
@@ -73,7 +73,7 @@ class C(Parser):
                 if k[self.p] in ";),":
                     return
                 if k[self.p] == "(":
-                    m = re.compile(rf"\((?:{_HEAD}(?:\[[^\]]*\])*)\)").match(k, self.p)
+                    m = compiled(rf"\((?:{_HEAD}(?:\[[^\]]*\])*)\)").match(k, self.p)
                     if m and m.group()[1] in "BAQi":
                         self.p = m.end()
                         return self.postfix()
@@ -158,7 +158,7 @@ class C(Parser):
             self.fail("expected an expression")
         self.postfix()
 
-    _type_any = re.compile(_HEAD)
+    _type_any = compiled(_HEAD)
 
     def condition_in_parens(self):
         self.need("(")
@@ -289,7 +289,7 @@ class C(Parser):
                 if "A" in head:
                     self.body(c, head)
                     head = ""
-                    if not (k[self.p] == ";" or re.compile(rf"[*&Q]*(?:{_ATTR})*[i(;]").match(k, self.p)):
+                    if not (k[self.p] == ";" or compiled(rf"[*&Q]*(?:{_ATTR})*[i(;]").match(k, self.p)):
                         self.fail("expected ;")
                     self.match(self._head)
                 else:
@@ -299,7 +299,7 @@ class C(Parser):
                 self.expr(1)
             elif c == ",":
                 self.p += 1
-                if not (self.match(re.compile(rf"(?:[Q*&r]|{_ATTR})*{_NAME}")) or k[self.p] in "(*"):
+                if not (self.match(compiled(rf"(?:[Q*&r]|{_ATTR})*{_NAME}")) or k[self.p] in "(*"):
                     self.fail("expected a name")
                 while k[self.p] in "*&Q":
                     self.p += 1
@@ -320,7 +320,7 @@ class C(Parser):
             return
         at = self.p
         # an enumeration has names between commas; a structure has members
-        if re.compile(r"\{(?:i(?:=[^;{}\0]*)?,?)*\}").match(k, at):
+        if compiled(r"\{(?:i(?:=[^;{}\0]*)?,?)*\}").match(k, at):
             self.balanced()
             return
         self.need("{")
@@ -343,7 +343,7 @@ class C(Parser):
             self.p += 1
         elif c == "N" or c == "Q" and k[self.p + 1] == "N":
             self.p += 1 + (c == "Q")
-            self.match(re.compile(r"(?:\[\[[^\]]*\]\])*(?:i(?:d(?:Q)?i)*)?"))
+            self.match(compiled(r"(?:\[\[[^\]]*\]\])*(?:i(?:d(?:Q)?i)*)?"))
             if self.take("="):
                 self.expr(1)
                 self.need(";")
@@ -362,7 +362,7 @@ class C(Parser):
         elif c == "G":
             self.p += 1
             self.take("N")
-            if self.match(re.compile(rf"{_NAME}=")):
+            if self.match(compiled(rf"{_NAME}=")):
                 if not self.match(self._type_any):
                     self.fail("expected a type")
                 while k[self.p] in "([":
@@ -376,7 +376,7 @@ class C(Parser):
             self.need(":")
         elif c == "M":
             self.p += 1
-            self.match(re.compile("Q*"))
+            self.match(compiled("Q*"))
             self.balanced()
             self.need(";")
         elif c == "[" and k[self.p + 1] == "[":
@@ -534,7 +534,7 @@ class C(Parser):
                             self.initial()
                         elif k[self.p] == ",":
                             self.p += 1
-                            self.match(re.compile(r"[*&Q]*"))
+                            self.match(compiled(r"[*&Q]*"))
                             self.need("i")
                         else:
                             self.balanced()
@@ -551,10 +551,10 @@ class C(Parser):
         self.known(_FOR, parse)
 
 
-_C_NAME = re.compile(rf"d?(?:i(?:{ARGS})?d)*(?:T?[!~]?i|O(?:\(\)|\[\]|[BQi*&]+|[^\s(\0]{{1,2}}))")
-_BRACES = re.compile(r"\{(?:[^{};\0]|\{[^{};\0]*\})*\}")
-_COND = re.compile(r"\((?:[^(){};\0]|\((?:[^(){};\0]|\((?:[^(){};\0]|\([^(){};\0]*\))*\))*\))*\)")
-_FOR = re.compile(r"\((?:[^(){}\0]|\((?:[^(){};\0]|\((?:[^(){};\0]|\([^(){};\0]*\))*\))*\))*\)")
+_C_NAME = compiled(rf"d?(?:i(?:{ARGS})?d)*(?:T?[!~]?i|O(?:\(\)|\[\]|[BQi*&]+|[^\s(\0]{{1,2}}))")
+_BRACES = compiled(r"\{(?:[^{};\0]|\{[^{};\0]*\})*\}")
+_COND = compiled(r"\((?:[^(){};\0]|\((?:[^(){};\0]|\((?:[^(){};\0]|\([^(){};\0]*\))*\))*\))*\)")
+_FOR = compiled(r"\((?:[^(){}\0]|\((?:[^(){};\0]|\((?:[^(){};\0]|\([^(){};\0]*\))*\))*\))*\)")
 
 _JT = rf"(?:(?:B|i(?:{ARGS})?(?:\.i(?:{ARGS})?)*)(?:@i)*(?:\[\])*)"
 _ANN = rf"(?:@i(?:\.i)*(?:{_P3})?)"
@@ -563,13 +563,13 @@ _ANN = rf"(?:@i(?:\.i)*(?:{_P3})?)"
 class Java(Parser):
     BINARY = _LEVELS | {"V": 6}
     PREFIX = frozenset("+-!~u")
-    _local = re.compile(rf"(?:Q|{_ANN})*{_JT}i(?:\[\])*(?=[=;,:)\[])")
-    _modifiers = re.compile(rf"(?:Q|{_ANN})*")
-    _generic = re.compile(ARGS)
-    _type = re.compile(_JT)
-    _cast = re.compile(rf"\({_JT}(?:&{_JT})*\)")
-    _lambda = re.compile(rf"(?:i|\((?:[^()\0]|{_P3})*\))l")
-    _types = re.compile(rf"{_JT}(?:[,&]{_JT})*")
+    _local = compiled(rf"(?:Q|{_ANN})*{_JT}i(?:\[\])*(?=[=;,:)\[])")
+    _modifiers = compiled(rf"(?:Q|{_ANN})*")
+    _generic = compiled(ARGS)
+    _type = compiled(_JT)
+    _cast = compiled(rf"\({_JT}(?:&{_JT})*\)")
+    _lambda = compiled(rf"(?:i|\((?:[^()\0]|{_P3})*\))l")
+    _types = compiled(rf"{_JT}(?:[,&]{_JT})*")
 
     def initial(self):
         if self.k[self.p] == "{":
@@ -675,7 +675,7 @@ class Java(Parser):
         elif c == "S":
             self.switch()
         elif c == "@":
-            self.match(re.compile(_ANN))
+            self.match(compiled(_ANN))
         else:
             self.fail("expected an expression")
         while True:
@@ -709,7 +709,7 @@ class Java(Parser):
     def new(self):
         k = self.k
         self.need("W")
-        if not self.match(re.compile(rf"(?:{_ANN})*(?:B|i(?:{ARGS})?(?:\.i(?:{ARGS})?)*)")):
+        if not self.match(compiled(rf"(?:{_ANN})*(?:B|i(?:{ARGS})?(?:\.i(?:{ARGS})?)*)")):
             self.fail("expected a type")
         if self.take("("):
             self.arguments()
@@ -762,7 +762,7 @@ class Java(Parser):
         if self.take(")"):
             return
         while True:
-            if not self.match(re.compile(rf"(?:Q|{_ANN})*{_JT}(?:{_ANN})*e?(?:i\.)?i(?:\[\])*")):
+            if not self.match(compiled(rf"(?:Q|{_ANN})*{_JT}(?:{_ANN})*e?(?:i\.)?i(?:\[\])*")):
                 self.fail("expected a parameter")
             if self.take(")"):
                 return
@@ -775,7 +775,7 @@ class Java(Parser):
         if k[self.p] == "N":
             self.p += 1
             self.take("Q")
-            if not self.match(re.compile(r"i(?:\.i)*(?:\.\*)?;")):
+            if not self.match(compiled(r"i(?:\.i)*(?:\.\*)?;")):
                 self.fail("expected a name and ;")
             return
         at = self.p
@@ -784,7 +784,7 @@ class Java(Parser):
             return self.item()
         if k[self.p] == "A" or k[self.p] == "@" and k[self.p + 1] == "A":
             return self.type_declaration()
-        if k[self.p : self.p + 2] == "ii" and self.match(re.compile(rf"ii(?:{ARGS})?(?=\()")):  # a record, or a method
+        if k[self.p : self.p + 2] == "ii" and self.match(compiled(rf"ii(?:{ARGS})?(?=\()")):  # a record, or a method
             return self.method()
         self.p = at
         self.member()
@@ -805,8 +805,8 @@ class Java(Parser):
         self.need("{")
         self.deeper()
         # constants of an enumeration
-        if re.compile(rf"(?:{_ANN})*i(?:{_P3})?[,;}}{{]").match(k, self.p):
-            while self.match(re.compile(rf"(?:{_ANN})*i(?={_P3}|[,;}}{{])")):
+        if compiled(rf"(?:{_ANN})*i(?:{_P3})?[,;}}{{]").match(k, self.p):
+            while self.match(compiled(rf"(?:{_ANN})*i(?={_P3}|[,;}}{{])")):
                 if k[self.p] == "(":
                     self.balanced()
                 if k[self.p] == "{":
@@ -930,7 +930,7 @@ class Java(Parser):
             if not resources and k[self.p] not in "Zf":
                 self.fail("expected catch")
             while self.take("Z"):
-                if not self.match(re.compile(rf"\((?:Q|{_ANN})*{_JT}(?:\|{_JT})*i\)")):
+                if not self.match(compiled(rf"\((?:Q|{_ANN})*{_JT}(?:\|{_JT})*i\)")):
                     self.fail("expected an exception")
                 self.block()
             if self.take("f"):
@@ -940,7 +940,7 @@ class Java(Parser):
         elif c == "i" and k[self.p + 1] == ":":
             self.p += 2
             self.statement()
-        elif c == "A" or c in "Q@" and re.compile(rf"(?:Q|{_ANN})*A").match(k, self.p):
+        elif c == "A" or c in "Q@" and compiled(rf"(?:Q|{_ANN})*A").match(k, self.p):
             self.item()
         elif c == "E":
             self.fail("else without if")
@@ -1002,9 +1002,9 @@ class JavaScript(Parser):
     BINARY = _LEVELS | {"k": 6, "p": 10, ",": 0}
     PREFIX = frozenset("+-!~uU")
     TRAILING = True
-    SIMPLE = re.compile(r"[^{};\0\n]*;")
-    _arrow = re.compile(rf"(?:i|Q|\((?:[^()\0]|\((?:[^()\0]|{_P3})*\))*\))l")
-    _key = re.compile(r"(?:Q(?=[^(:,=}]))*\*?(?:[a-zA-Zns])(?=[(:,=};\n])")
+    SIMPLE = compiled(r"[^{};\0\n]*;")
+    _arrow = compiled(rf"(?:i|Q|\((?:[^()\0]|\((?:[^()\0]|{_P3})*\))*\))l")
+    _key = compiled(r"(?:Q(?=[^(:,=}]))*\*?(?:[a-zA-Zns])(?=[(:,=};\n])")
 
     @staticmethod
     def prepare(kinds: str) -> str:
@@ -1459,7 +1459,7 @@ class Go(Parser):
     BINARY = {k: v for k, v in _LEVELS.items() if k not in "=a?"} | {"l": 1}
     PREFIX = frozenset("+-!~^*&l")
     TRAILING = True
-    SIMPLE = re.compile(r"[^{};\0\n]*[;\n]")
+    SIMPLE = compiled(r"[^{};\0\n]*[;\n]")
 
     @staticmethod
     def prepare(kinds: str) -> str:
@@ -1668,7 +1668,7 @@ class Go(Parser):
         elif c == "(":
             self.p += 1
             held, self.plain = self.plain, 0
-            if k[self.p] in "*" and re.compile(r"\*+i(?:\.i)?\)").match(k, self.p):
+            if k[self.p] in "*" and compiled(r"\*+i(?:\.i)?\)").match(k, self.p):
                 self.type()
             else:
                 self.expr_or_type()
@@ -1874,17 +1874,17 @@ class Go(Parser):
         self.ends()
 
 
-_RA = r"<(?:[^;{}<>\0]|<(?:[^;{}<>\0]|<(?:[^;{}<>\0]|<[^;{}<>\0]*>)*>)*>)*>"
+_RA = ARGS
 
 
 class Rust(Parser):
     BINARY = {"=": 0, "a": 0, "y": 1, "o": 2, "r": 3, "5": 4, "6": 4, "<": 4, ">": 4, "|": 5, "^": 5, "&": 5, "7": 6, "+": 7, "-": 7, "*": 8, "9": 8}
     PREFIX = frozenset("-!~*")
     TRAILING = True
-    _attr = re.compile(r"#[!~]?(?=\[)")
-    _generic = re.compile(_RA)
-    _item = re.compile(r"(?:Q(?:\([^()\0]*\))?s?)*(?:[KABNGPTYM]|Q)")
-    _vis = re.compile(r"(?:Q(?:\((?:k?[iQd]+)+\))?s?)*")
+    _attr = compiled(r"#[!~]?(?=\[)")
+    _generic = compiled(_RA)
+    _item = compiled(r"(?:Q(?:\([^()\0]*\))?s?)*(?:[KABNGPTYM]|Q)")
+    _vis = compiled(r"(?:Q(?:\((?:k?[iQd]+)+\))?s?)*")
 
     def __init__(self, kinds, seen):
         super().__init__(kinds, seen)
@@ -2002,7 +2002,7 @@ class Rust(Parser):
             while k[self.p] not in ";" + END and k[self.p] in "ikQ":
                 self.p += 1
             self.need(";")
-        elif re.compile(r"i(?:di)*!").match(k, self.p):
+        elif compiled(r"i(?:di)*!").match(k, self.p):
             self.macro()
             self.take(";")
         else:
@@ -2141,8 +2141,8 @@ class Rust(Parser):
         self.need("(")
         while not self.take(")"):
             self.attributes()
-            if re.compile(r"(?:[&r]q?)?m?i[,)]").match(k, self.p):  # self
-                self.p = re.compile(r"(?:[&r]q?)?m?i").match(k, self.p).end()
+            if compiled(r"(?:[&r]q?)?m?i[,)]").match(k, self.p):  # self
+                self.p = compiled(r"(?:[&r]q?)?m?i").match(k, self.p).end()
             elif k[self.p] == "y":
                 self.p += 1
             else:
@@ -2176,7 +2176,7 @@ class Rust(Parser):
 
     def macro(self):
         k = self.k
-        self.match(re.compile(r"i(?:di)*"))
+        self.match(compiled(r"i(?:di)*"))
         self.p += 1
         self.take("i")
         if k[self.p] not in "([{":
@@ -2239,15 +2239,15 @@ class Rust(Parser):
             self.p += 1
         elif c == "i" or c == "d" or c == "Q" and k[self.p + 1] == "d":
             at = self.p
-            if not self.match(re.compile(rf"d?[iQ](?:d(?:{_RA}|[iQ]))*")):
+            if not self.match(compiled(rf"d?[iQ](?:d(?:{_RA}|[iQ]))*")):
                 self.fail("expected a name")
             if k[self.p] in "!~" and k[self.p + 1] in "([{":
                 self.p += 1
                 self.balanced()
-            elif k[self.p] == "{" and not self.plain and k[at] in "iQ" and re.compile(r"\{(?:\}|[in][:,}]|y|#)").match(k, self.p):
+            elif k[self.p] == "{" and not self.plain and k[at] in "iQ" and compiled(r"\{(?:\}|[in][:,}]|y|#)").match(k, self.p):
                 self.struct()
         elif c == "<":
-            if not self.match(re.compile(rf"{_RA}(?:d(?:{_RA}|[iQ]))+")):
+            if not self.match(compiled(rf"{_RA}(?:d(?:{_RA}|[iQ]))+")):
                 self.fail("expected a path")
         elif c == "(":
             self.p += 1
@@ -2448,7 +2448,7 @@ class Rust(Parser):
             self.known(self.SIMPLE, self.expression_end)
 
     def _is_item(self) -> bool:
-        m = re.compile(r"(?:Q(?:\([^()\0]*\))?s?)+").match(self.k, self.p)
+        m = compiled(r"(?:Q(?:\([^()\0]*\))?s?)+").match(self.k, self.p)
         return self.k[m.end()] in "KABNGPTYM" or self.k[m.end()] in "im" and (self.k[m.end() + 1] == ":" or self.k[m.end()] == "m")
 
     def block_like(self):

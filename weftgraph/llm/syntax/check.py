@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_right
+from itertools import accumulate
 from typing import NamedTuple
 
 from weftgraph.llm.syntax import lexer
@@ -71,35 +74,64 @@ def _c_text(text: str) -> str:
     return text
 
 
-def _choose(kinds: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, str]]]:
-    """The first branch of each conditional, the second of #if 0. Returns the kept kinds, where each kept piece was, and
-    conditionals without a beginning or an end."""
-    if not _BRANCH.search(kinds):
-        return kinds, [(0, 0)], []
-    kept, places, errors = [], [], []
-    size, at = 0, 0
-    stack: list[list[bool]] = []  # for each open conditional: whether this branch counts, whether one has counted
+class _Conditional(NamedTuple):
+    branches: list  # each a list of pieces (begin, end) and conditionals
+
+
+def _branches(kinds: str) -> tuple[list, list[tuple[int, str]]]:
+    """A text's pieces and conditionals; conditionals without a beginning or an end. What ``#if 0`` excludes needn't be
+    code and is left out."""
+    top: list = []
+    errors: list[tuple[int, str]] = []
+    stack: list[tuple[list, _Conditional | None]] = [(top, None)]
+    at = 0
     for m in [*_BRANCH.finditer(kinds), None]:
         end = m.start() if m else len(kinds)
-        if all(s[0] for s in stack) and end > at:
-            places.append((size, at))
-            kept.append(kinds[at:end])
-            size += end - at
+        if end > at:
+            stack[-1][0].append((at, end))
         if m is None:
             break
-        at = m.end()
-        c = m.group()
+        at, c = m.end(), m.group()
         if c in (_IF, _NEVER):
-            stack.append([c == _IF, c == _IF])
-        elif not stack:
+            new = _Conditional([])
+            stack[-1][0].append(new)
+            stack.append(([], new))
+            if c == _IF:
+                new.branches.append(stack[-1][0])
+        elif len(stack) == 1:
             errors.append((end, "conditional that was never opened"))
         elif c == _ELSE:
-            stack[-1] = [not stack[-1][1], True]
+            stack[-1] = ([], stack[-1][1])
+            stack[-1][1].branches.append(stack[-1][0])
         else:
             stack.pop()
-    if stack:
+    if len(stack) > 1:
         errors.append((len(kinds), "conditional never closed"))
-    return "".join(kept), places or [(0, 0)], errors
+    return top, errors
+
+
+def _width(pieces: list) -> int:
+    """Selections that it takes until each branch has been in one."""
+    return max([1, *(sum(map(_width, p.branches)) for p in pieces if isinstance(p, _Conditional))])
+
+
+def _select(pieces: list, number: int, out: list[tuple[int, int]]) -> None:
+    """The pieces of one selection: of each conditional the branch that ``number`` falls to, the first one where it has
+    fewer."""
+    for p in pieces:
+        if not isinstance(p, _Conditional):
+            out.append(p)
+            continue
+        left = number
+        for b in p.branches:
+            w = _width(b)
+            if left < w:
+                _select(b, left, out)
+                break
+            left -= w
+        else:
+            if p.branches:
+                _select(p.branches[0], 0, out)
 
 
 _LEX = {"c": _c_lexer(), "java": lexer.JAVA, "javascript": lexer.JS, "go": lexer.GO, "rust": lexer.RUST, "python": lexer.PY, "asm": lexer.ASM}
@@ -112,16 +144,8 @@ _SEEN: dict[str, dict] = {name: {} for name in LANGUAGES}
 _VALID = Verdict(0, 0, "", [], [])
 
 
-def check(text: str, language: str) -> Verdict:
-    """All errors of a text, the first cause first. An empty text and one of comments only are valid."""
-    text = text.removeprefix("﻿")
-    lex = _LEX[language]
-    if language in ("c", "cpp"):
-        text = _c_text(text)
-    kinds = lex("\n" + text if language == "python" else text)
-    places, early = [(0, 0)], []
-    if language in ("c", "cpp"):
-        kinds, places, early = _choose(kinds)
+def _errors(kinds: str, language: str) -> tuple[int, list[tuple[int, str]]]:
+    """How many errors a sequence of kinds has, and where, counted in tokens."""
     parser_class = _PARSE[language]
     prepared = parser_class.prepare(kinds) if hasattr(parser_class, "prepare") else kinds
     parser = parser_class(prepared, _SEEN[language])
@@ -130,19 +154,54 @@ def check(text: str, language: str) -> Verdict:
     except Fail as e:
         parser.errors.append((e.at, e.why))
         parser.count += 1
-    if not parser.count and not early:
+    if language in ("javascript", "go"):
+        return parser.count, [(len(prepared[:at].replace("\n", "")), why) for at, why in parser.errors]
+    return parser.count, parser.errors
+
+
+def check(text: str, language: str) -> Verdict:
+    """All errors of a text, the first cause first. An empty text and one of comments only are valid.
+
+    Of a C or C++ text every branch of its preprocessor conditionals is checked: the text is parsed with the first branch
+    of each, then with the further ones in turn. Of a further selection only the errors count that lie in branches which
+    the first one leaves out, or right behind them, since branches that belong together aren't told from others."""
+    text = text.removeprefix("﻿")
+    lex = _LEX[language]
+    if language in ("c", "cpp"):
+        text = _c_text(text)
+    kinds = lex("\n" + text if language == "python" else text)
+    # nesting takes as many of Python's frames as it is deep; those lie on the heap, so only the limit has to give way
+    least = 12 * len(kinds) + 2000
+    if sys.getrecursionlimit() < least:
+        sys.setrecursionlimit(least)
+    if language not in ("c", "cpp") or not _BRANCH.search(kinds):
+        count, found = _errors(kinds, language)
+    else:
+        top, found = _branches(kinds)
+        count, first, checked = len(found), [], set()
+        for number in range(_width(top)):
+            pieces: list[tuple[int, int]] = []
+            _select(top, number, pieces)
+            chosen = "".join(kinds[a:b] for a, b in pieces)
+            if chosen in checked:
+                continue
+            checked.add(chosen)
+            n, errors = _errors(chosen, language)
+            if not number:
+                first, count = pieces, count + n
+            sizes = [0, *accumulate(b - a for a, b in pieces)]
+            for at, why in errors:
+                k = max(0, bisect_right(sizes, at) - 1)
+                place = pieces[min(k, len(pieces) - 1)][0] + at - sizes[min(k, len(pieces) - 1)] if pieces else 0
+                if number:
+                    behind = k and at == sizes[k] and pieces[k - 1] not in first
+                    if not (behind or k < len(pieces) and pieces[k] not in first) or (place, why) in found:
+                        continue
+                    count += 1
+                found.append((place, why))
+    if not count:
         return _VALID
-    found = []
-    for at, why in parser.errors:
-        if language in ("java", "rust", "c", "cpp"):
-            ordinal = at
-        elif language == "python":
-            ordinal = at
-        else:
-            ordinal = len(prepared[:at].replace("\n", ""))
-        size, start = max((p for p in places if p[0] <= ordinal), default=(0, 0))
-        found.append((start + ordinal - size, why))
-    found = sorted(found + early)
-    lines = [lex.line_of(text, n) for n, _ in found]
+    found = sorted(found)
+    lines = lex.lines_of(text, [n for n, _ in found])
     causes = [w for _, w in found]
-    return Verdict(parser.count + len(early), lines[0], causes[0], lines, causes)
+    return Verdict(count, lines[0], causes[0], lines, causes)

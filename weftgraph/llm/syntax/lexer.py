@@ -41,21 +41,23 @@ class Lexer:
     def __call__(self, text: str) -> str:
         return "".join(map(self.kinds.__getitem__, self.pattern.findall(text)))
 
-    def line_of(self, text: str, ordinal: int) -> int:
-        """The line of the token with that number, not counting line ends."""
-        n = 0
-        last = 0
+    def lines_of(self, text: str, ordinals: list[int]) -> list[int]:
+        """The lines of the tokens with these numbers in ascending order, not counting line ends; in one pass."""
+        out: list[int] = []
+        n, last, line, counted = 0, 0, 1, 0
         for m in self.pattern.finditer(text):
+            if len(out) == len(ordinals):
+                break
             kind = self.kinds[m.group()]
             if not kind or kind[0] == "\n":
                 continue
             last = m.start()
-            if n >= ordinal:
-                break
+            while len(out) < len(ordinals) and n >= ordinals[len(out)]:
+                line, counted = line + text.count("\n", counted, last), last
+                out.append(line)
             n += 1
-        else:
-            last = len(text)
-        return text.count("\n", 0, last) + 1
+        rest = text.count("\n") + 1
+        return out + [rest] * (len(ordinals) - len(out))
 
 
 WORD = r"[^\W\d]\w*"

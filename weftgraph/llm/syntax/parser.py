@@ -4,17 +4,22 @@ and panic-mode recovery, which records an error, skips to the end of the stateme
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+
+import regex
 
 from weftgraph.llm.syntax.lexer import BAD, KEPT
 
 END = "\0"
-#: Errors stored for one text; the number of all errors is counted further.
-STORED = 20
-#: Nesting at which a text counts as too deep to be written by anyone; keeps the parser off Python's stack limit.
-DEEP = 180
 
-#: Template or type arguments, to three levels.
-ARGS = r"<(?:[^;{}<>\0]|<(?:[^;{}<>\0]|<(?:[^;{}<>\0]|<[^;{}<>\0]*>)*>)*>)*>"
+# Type arguments, and round brackets, nested to any depth. Patterns with these names go through ``compiled``.
+ARGS, PARENS = "(?&A)", "(?&P)"
+_NESTED = r"(?(DEFINE)(?P<A><(?>[^;{}<>\0]++|(?&A))*+>)(?P<P>\((?>[^()\0]++|(?&P))*+\)))"
+
+
+@lru_cache(maxsize=None)
+def compiled(pattern: str):
+    return regex.compile(_NESTED + pattern, regex.V0) if "(?&" in pattern else re.compile(pattern)
 
 
 class Fail(Exception):
@@ -50,8 +55,7 @@ class Parser:
 
     def note(self, e: Fail) -> None:
         self.count += 1
-        if len(self.errors) < STORED:
-            self.errors.append((e.at, e.why))
+        self.errors.append((e.at, e.why))
 
     def recover(self, e: Fail) -> None:
         """Panic mode: to behind the next semicolon outside brackets, or before the brace that closes the block."""
@@ -90,9 +94,6 @@ class Parser:
                 self.recover(e)
                 if self.p < last and k[self.p] in ")]}":
                     self.p += 1
-            except RecursionError:
-                self.note(Fail(at, "nested too deeply"))
-                return
             if self.p == at:
                 self.p += 1
 
@@ -159,8 +160,6 @@ class Parser:
 
     def deeper(self):
         self.depth += 1
-        if self.depth > DEEP:
-            self.fail("nested too deeply")
 
     # expressions
 
