@@ -39,17 +39,22 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return sources.extract_pairs(table(spark, d, "functions"))
+    """Functions with their documentation, their own (level 0) or that of the method they override. Classes come from the
+    source texts of the functions' repositories."""
+    work = Workspace(spark, "pairs")
+    pairs = work.save(sources.extract_pairs(table(spark, d, "functions")), "extracted")
+    classes = work.save(sources.class_table(table(spark, d, "documents"), table(spark, d, "cgdb_files")), "classes")
+    edges = table(spark, d, "edges").where("relation in ('OVERRIDES', 'IMPLEMENTS')").select(F.col("invoker_id").alias("id"), F.col("invoked_id").alias("overridden"))
+    return sources.resolve_inherited(spark, work, pairs, edges, sources.class_members(pairs, classes), sources.class_bases(classes))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).where("description <> ''").select("id").distinct()
+    return _pairs(spark, d).where("levels = 0").select("id").distinct()
 
 
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Code and description, inherited documentation resolved."""
-    edges = table(spark, d, "edges").where("relation in ('OVERRIDES', 'IMPLEMENTS')").select(F.col("invoker_id").alias("id"), F.col("invoked_id").alias("overridden"))
-    return sources.resolve_inherited(spark, Workspace(spark, "pairs"), _pairs(spark, d), edges).select("id", "name", "signature", "code", "description", "levels")
+    return _pairs(spark, d).select("id", "name", "signature", "code", "description", "levels")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -26,7 +26,7 @@ _CHECKED = "doc_id bigint, file_id bigint, path string, stated string, language
 
 def check_syntax(docs: DataFrame, files: DataFrame) -> DataFrame:
     """A row for each document of a known file with a text. ``language`` is the one checked, null for a file whose language
-    isn't known here, which then has no errors. Errors hold the first 20 of the text, ``errors`` their full number."""
+    isn't known here, which then has no errors. Lines and causes hold all errors, ``errors`` is their number."""
     source = docs.where("file_id is not null and text is not null").select("doc_id", "file_id", "text")
     rows = source.join(latest_files(files).select("file_id", "path", "language"), "file_id").select("doc_id", "file_id", "path", "language", "text")
 
@@ -214,7 +214,7 @@ def infer_labels(spark: SparkSession, work: Workspace, evidence: DataFrame, file
 
 # functions with their documentation
 
-_PAIRS = "id string, name string, signature string, code string, description string, inherits boolean, has_body boolean"
+_PAIRS = "id string, name string, signature string, code string, description string, inherits boolean, has_body boolean, path string, repo string, owner string"
 
 
 def extract_pairs(functions: DataFrame) -> DataFrame:
@@ -224,35 +224,89 @@ def extract_pairs(functions: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from weftgraph.llm.docpairs import extract
+        from weftgraph.llm.hierarchy import owner
+        from weftgraph.llm.syntax import language_of
 
         for batch in batches:
             ids, names, signatures, paths, bodies = (c.to_pylist() for c in batch.columns)
-            out = [(i, n, s, p.code, p.description, p.inherits, True) for i, n, s, f, b in zip(ids, names, signatures, paths, bodies) if (p := extract(b, f, n)) is not None]
-            cols = list(zip(*out)) if out else [[] for _ in range(7)]
-            kinds = [pa.string()] * 5 + [pa.bool_()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["id", "name", "signature", "code", "description", "inherits", "has_body"])
+            out = [
+                (i, n, s, p.code, p.description, p.inherits, True, f, (f or "").partition("/")[0], owner(b, language_of(f, None), n))
+                for i, n, s, f, b in zip(ids, names, signatures, paths, bodies) if (p := extract(b, f, n)) is not None
+            ]
+            cols = list(zip(*out)) if out else [[] for _ in range(10)]
+            kinds = [pa.string()] * 5 + [pa.bool_()] * 2 + [pa.string()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["id", "name", "signature", "code", "description", "inherits", "has_body", "path", "repo", "owner"])
 
     return rows.mapInArrow(run, _PAIRS)
 
 
-def resolve_inherited(spark: SparkSession, work: Workspace, pairs: DataFrame, overrides: DataFrame, steps: int = 16) -> DataFrame:
-    """Descriptions of overridden methods for those that refer to them. overrides: id, overridden; null and repeated rows
-    count once. Each step joins the unresolved with what they override; it ends when nothing is left to look up. What is
-    still unresolved after ``steps`` levels, on a cycle or above the hierarchy, stays empty."""
+def class_table(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """repo, path, class, bases, methods: the classes of all source texts."""
+    source = docs.where("file_id is not null and text is not null").select("file_id", "text")
+    # most texts have none of the words that a class begins with
+    source = source.where(F.col("text").rlike(r"\b(?:class|interface|struct|trait|impl|enum|record)\b"))
+    rows = source.join(latest_files(files).where("path is not null").select("file_id", "path", "language"), "file_id").select("path", "language", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from weftgraph.llm.hierarchy import classes
+        from weftgraph.llm.syntax import language_of
+
+        for batch in batches:
+            out = [(p.partition("/")[0], p, *c) for p, s, t in zip(*(c.to_pylist() for c in batch.columns)) for c in classes(t, language_of(p, s))]
+            cols = list(zip(*out)) if out else [[] for _ in range(5)]
+            kinds = [pa.string()] * 3 + [pa.list_(pa.string())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["repo", "path", "class", "bases", "methods"])
+
+    return rows.mapInArrow(run, "repo string, path string, class string, bases array<string>, methods array<string>")
+
+
+def class_bases(table: DataFrame) -> DataFrame:
+    """repo, class, base: a class of that name anywhere in the repository."""
+    return table.select("repo", "class", F.explode("bases").alias("base")).where("base <> class").distinct()
+
+
+def class_members(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """id, repo, class, name: methods by what they themselves name as their class, else by the class of their file that
+    declares a method of their name. Functions outside of classes are missing."""
+    own = pairs.where("owner is not null").select("id", "repo", F.col("owner").alias("class"), "name")
+    declared = table.select("path", "class", F.explode("methods").alias("name")).distinct()
+    by_file = pairs.where("owner is null").join(declared, ["path", "name"]).select("id", "repo", "class", "name")
+    return own.unionByName(by_file).distinct()
+
+
+def resolve_inherited(spark: SparkSession, work: Workspace, pairs: DataFrame, overrides: DataFrame, members: DataFrame | None = None, bases: DataFrame | None = None) -> DataFrame:
+    """Descriptions of overridden methods for those that refer to them.
+
+    overrides: id, overridden. members: id, repo, class, name; bases: repo, class, base: a method overrides that of the same
+    name in the bases of its class. Null and repeated rows count once. Each step joins what waits with what it overrides,
+    without the places where it has been, and takes the nearest level that has a description, of several there the least.
+    It ends when nothing waits: what ends on a cycle or above the hierarchy stays without."""
     pairs = work.save(pairs.withColumn("depth", F.when(F.col("description") != "", 0)), "pairs")
-    edges = work.save(overrides.where("id is not null and overridden is not null and id <> overridden").select("id", "overridden").distinct(), "overrides")
-    waiting = work.save(pairs.where("inherits and description = ''").select("id", F.col("id").alias("at")).distinct(), "waiting=0")
-    known = pairs.where("description <> ''").groupBy(F.col("id").alias("at")).agg(F.min("description").alias("found"))
     solved = spark.createDataFrame([], "id string, found string, levels int")
-    for step in range(1, steps + 1):
-        if waiting.isEmpty():
-            break
-        next_up = waiting.join(edges.withColumnRenamed("id", "at"), "at").select("id", F.col("overridden").alias("at")).distinct()
-        looked = work.save(next_up.join(known, "at", "left"), f"looked={step}")
-        hit = looked.where("found is not null").groupBy("id").agg(F.min("found").alias("found")).withColumn("levels", F.lit(step))
-        solved = solved.unionByName(hit)
-        done = hit.select("id")
-        waiting = work.save(looked.where("found is null").select("id", "at").join(done, "id", "left_anti"), f"waiting={step}")
+    slot = ["repo", "class", "name"]
+    start = work.save(pairs.where("inherits and description = ''").select("id").distinct(), "start")
+    if not start.isEmpty():
+        edges = work.save(overrides.where("id is not null and overridden is not null and id <> overridden").select("id", "overridden").distinct(), "overrides")
+        members = work.save(members if members is not None else spark.createDataFrame([], "id string, repo string, class string, name string"), "members")
+        bases = work.save(bases if bases is not None else spark.createDataFrame([], "repo string, class string, base string"), "bases")
+        told = pairs.where("description <> ''").groupBy("id").agg(F.min("description").alias("found"))
+        key = F.to_json(F.struct(*slot))
+        known = told.withColumnRenamed("id", "at").unionByName(members.join(told, "id").groupBy(key.alias("at")).agg(F.min("found").alias("found")))
+        known = work.save(known, "known")
+        waiting = start.join(members, "id", "left").select("id", F.col("id").alias("at"), *slot)
+        waiting.select("id", "at").distinct().write.mode("overwrite").parquet(work.at("visited"))
+        waiting, step = work.save(waiting, "waiting=0"), 0
+        while not waiting.isEmpty():
+            step += 1
+            by_edge = waiting.join(edges.withColumnRenamed("id", "at"), "at").select("id", F.col("overridden").alias("over")).join(members.withColumnRenamed("id", "over"), "over", "left").select("id", F.col("over").alias("at"), *slot)
+            by_class = waiting.where("class is not null").join(bases, ["repo", "class"]).select("id", "repo", F.col("base").alias("class"), "name").select("id", key.alias("at"), *slot)
+            visited = work.load("visited", "id string, at string")
+            next_up = by_edge.unionByName(by_class).distinct().join(visited, ["id", "at"], "left_anti")
+            looked = work.save(next_up.join(known, "at", "left"), f"looked={step}")
+            looked.select("id", "at").distinct().write.mode("append").parquet(work.at("visited"))
+            hit = looked.where("found is not null").groupBy("id").agg(F.min("found").alias("found")).withColumn("levels", F.lit(step))
+            solved = solved.unionByName(hit)
+            waiting = work.save(looked.where("found is null").select("id", "at", *slot).join(hit.select("id"), "id", "left_anti"), f"waiting={step}")
     out = pairs.join(solved, "id", "left")
     text = F.when(F.col("description") != "", F.col("description")).otherwise(F.when(F.col("inherits"), F.col("found")))
     return out.withColumn("description", text).withColumn("levels", F.coalesce("depth", "levels")).where("description is not null").drop("found", "depth")
