@@ -67,14 +67,16 @@ _BREAK = re.compile(r"\s+(?=[@\\\\](?:param|arg|tparam|returns?|retval|throws?|e
 _LONE_MARK = re.compile(r"^\W*(?:TODO|FIXME|XXX|HACK|TBD|TBA|WIP)\s+(?=[^\W\d_a-z]|(?:\S+\s+){6})")
 
 
+_AFTER_NAME = re.compile(r"\s*(?:\(\))?\s*(?:[-–—:]+\s*|(?=\s)|$)")
+
+
 def own_words(doc: str, name: str) -> str:
     """The parts of a documentation that say something beyond tags, marks, directives, licences, code and the name."""
     kept, parts = [], _parts(name)
-    named = re.compile(rf"^{re.escape(name)}\s*(?:\(\))?\s*(?:[-–—:]+\s*|(?=\s)|$)") if name else None
     for line in _BREAK.sub("\n", doc).split("\n"):
         text = _INHERIT.sub("", line).strip()
-        if named:
-            text = named.sub("", text)
+        if name and text.startswith(name) and (after := _AFTER_NAME.match(text, len(name))):
+            text = text[after.end() :]
         if not text or _DIRECTIVE.match(text) or _LICENCE.search(text):
             continue
         if _TAG.match(text):
@@ -344,7 +346,7 @@ def _assembler(text: str, name: str) -> Pair | None:
             start = here if start is None else start
             if not re.match(r"\.(?:globa?l|type|hidden|weak|func|ent|thumb_func|align|p2align|balign)\b", line):
                 doc, start = [], None
-        elif re.match(rf"{re.escape(name)}\s*:", line) if name else re.match(r"[A-Za-z_.$][\w.$]*:", line):
+        elif line.startswith(name) and line[len(name) :].lstrip().startswith(":") if name else re.match(r"[A-Za-z_.$][\w.$]*:", line):
             start = here if start is None else start
             inside.append(line)
         else:
