@@ -24,40 +24,43 @@ def _node_refs(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.lit(NODE_REF).alias("ref"), F.col("file_id").cast("string").alias("key"), F.col("version_id").alias("version"), F.col("id").alias("row_id"))
 
 
-def _orphans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """States by epoch and reference rows, of both tables."""
+def _orphans(spark: SparkSession, d: str) -> list[tuple[DataFrame, list[int], DataFrame]]:
+    """Deltas, the order of epochs and reference rows, of edges and of nodes."""
     work = Workspace(spark, "orphans")
     edge_refs, node_refs = _edge_refs(table(spark, d, "edges")), _node_refs(table(spark, d, "cgdb_nodes"))
     # versions and runs are metadata, a handful of rows at any size of the graph
     last = table(spark, d, "graph_versions").agg(F.max("version_id")).first()[0]
     spans = orphans.span_events(table(spark, d, "functions"), EDGE_REFS, last if last is not None else -1)
-    edge_counts = work.save(orphans.counted_refs(edge_refs), "edge_counts")
-    node_counts = work.save(orphans.counted_refs(node_refs), "node_counts")
     made = {r["version_id"]: r["run"] for r in table(spark, d, "scan_runs").where("version_id is not null").groupBy("version_id").agg(F.max("run_id").alias("run")).collect()}
-    versions = orphans.epochs_of(node_counts, "version")
+    versions = orphans.epochs_of(table(spark, d, "cgdb_nodes"), "version_id")
     of_run = sorted((made[v], v) for v in versions if v in made)
     ends = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(v).alias("v")) for r, v in of_run]) if of_run else None
     at = F.try_element_at(F.filter(ends, lambda e: e["run"] >= F.col("scan_run")), F.lit(1))["v"] if of_run else F.lit(None).cast("int")
     records = orphans.record_events(table(spark, d, "cgdb_files"), [NODE_REF], at)
     # a version that no run produced has no records behind it: its epoch comes before all others
     order = [v for v in versions if v not in made] + [v for _, v in of_run]
-    one = orphans.track(spark, Workspace(spark, "", work.at("functions")), orphans.epochs_of(edge_counts, "version"), edge_counts, spans)
-    two = orphans.track_in_order(spark, Workspace(spark, "", work.at("files")), order, node_counts, records)
-    return one.unionByName(two), edge_refs.unionByName(node_refs)
+    epochs = orphans.epochs_of(table(spark, d, "edges"), "version_id")
+    one = orphans.track(orphans.OrphanTracker(spark, Workspace(spark, "", work.at("functions"))), epochs, orphans.counted_refs(edge_refs), spans)
+    two = orphans.track_in_order(orphans.OrphanTracker(spark, Workspace(spark, "", work.at("files"))), order, orphans.counted_refs(node_refs), records)
+    return [(one, epochs, edge_refs), (two, order, node_refs)]
+
+
+def _reference(column: str = "ref") -> list:
+    part = F.split(column, r"\.")
+    return [part[0].alias("table_name"), part[1].alias("column_name")]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    states, rows = _orphans(spark, d)
-    found = orphans.orphan_rows(states, rows)
-    part = F.split("ref", r"\.")
-    return found.select(part[0].alias("table_name"), part[1].alias("column_name"), "row_id", F.col("version").alias("version_id"))
+    (one, _, edge_refs), (two, _, node_refs) = _orphans(spark, d)
+    found = orphans.orphan_rows(one, edge_refs).unionByName(orphans.orphan_rows(two, node_refs))
+    return found.select(*_reference(), "row_id", F.col("version").alias("version_id"))
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts per referencing column and version, a snapshot at the end of each epoch."""
-    states, _ = _orphans(spark, d)
-    part = F.split("ref", r"\.")
-    return orphans.orphan_counts(states).select(part[0].alias("table_name"), part[1].alias("column_name"), F.col("version").alias("version_id"), "opened", "resolved", "reopened", "pending")
+    (one, first, _), (two, second, _) = _orphans(spark, d)
+    counts = orphans.orphan_counts(one, first).unionByName(orphans.orphan_counts(two, second))
+    return counts.select(*_reference(), F.col("version").alias("version_id"), "opened", "resolved", "reopened", "pending")
 
 
 def _node_hash():
@@ -141,7 +144,38 @@ pairs as (
   from cur a full outer join cur b on a.fqn = b.fqn and b.r = a.r + 1)
 """
 
+_COUNTS = """
+ends as (select version_id as v, row_number() over (order by version_id) as pos from (select distinct version_id from edges where version_id is not null)),
+live as (
+  select e.pos, f.id, max(case when f.first_seen_version <= e.v and (f.last_seen_version > e.v or f.last_seen_version = (select max(version_id) from graph_versions)) then 1 else 0 end) as on_
+  from ends e cross join functions f where f.id is not null and f.first_seen_version is not null and f.last_seen_version is not null group by 1, 2),
+edge_seen as (
+  select 'edges' as t, r.column_name as c, r.key, e.pos, count(distinct case when r2.pos = e.pos then r.row_id end) as n, count(distinct case when r2.pos < e.pos then (r2.pos, r.row_id) end) as seen
+  from refs r join ends r2 on r2.v = r.version_id join ends e on e.pos >= r2.pos group by 1, 2, 3, 4),
+edge_all as (
+  select s.t, s.c, e.v, s.pos, s.n, s.seen, coalesce(a.on_, 0) as on_, coalesce(b.on_, 0) as was
+  from edge_seen s join ends e using (pos) left join live a on a.pos = s.pos and a.id = s.key left join live b on b.pos = s.pos - 1 and b.id = s.key),
+made_v as (select version_id, max(run_id) as run from scan_runs where version_id is not null group by 1),
+node_ends as (
+  select n.version_id as v, m.run, row_number() over (order by m.run nulls first, n.version_id) as pos
+  from (select distinct version_id from cgdb_nodes where version_id is not null) n left join made_v m using (version_id)),
+node_seen as (
+  select r.file_id as key, e.pos, count(distinct case when r2.pos = e.pos then r.id end) as n, count(distinct case when r2.pos < e.pos then (r2.pos, r.id) end) as seen
+  from cgdb_nodes r join node_ends r2 on r2.v = r.version_id join node_ends e on e.pos >= r2.pos where r.file_id is not null group by 1, 2),
+node_live as (
+  select e.pos, f.id, 1 - max(case when f.is_deleted then 1 else 0 end) as on_ from node_ends e join cgdb_files f on f.scan_run <= e.run
+  where (f.scan_run, f.delivery_id) = (select max((g.scan_run, g.delivery_id)) from cgdb_files g where g.id = f.id and g.scan_run <= e.run) group by 1, 2),
+node_all as (
+  select 'cgdb_nodes' as t, 'file_id' as c, e.v, s.pos, s.n, s.seen, coalesce(a.on_, 0) as on_, coalesce(b.on_, 0) as was
+  from node_seen s join node_ends e using (pos) left join node_live a on a.pos = s.pos and a.id = s.key left join node_live b on b.pos = s.pos - 1 and b.id = s.key),
+all_keys as (select * from edge_all union all select * from node_all)
+"""
+
 SQL = {
+    "p1_counts": f"""with {_ALIVE}, {_COUNTS}
+        select t as table_name, c as column_name, v as version_id, sum(case when on_ = 0 then n else 0 end) as opened, sum(case when was = 0 and on_ = 1 then seen else 0 end) as resolved,
+          sum(case when was = 1 and on_ = 0 then seen else 0 end) as reopened, sum(case when on_ = 0 then n + seen else 0 end) as pending
+        from all_keys group by 1, 2, 3""",
     "p1_found": f"with {_ALIVE} select table_name, column_name, row_id, version_id from orphan_rows",
     "p2_found": f"""with {_CHANGES}
         select vs.version_id, p.fqn, case when is_new then 'added' when is_gone then 'removed' else 'changed' end as change

@@ -1,13 +1,14 @@
 """Intermediate tables in the folder which all executors share.
 
-The folder is the one named by ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary folder
-is made. Everything written here survives the loss of an executor, and cutting a lineage always means writing a table
+The folder is the one named by ``spark.checkpoint.dir``. Where that is unset, a session on one machine (tests, a laptop)
+gets a temporary folder; on a cluster it is an error. Everything written here survives the loss of an executor, and cutting a lineage always means writing a table
 here and reading it again.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,23 @@ from weftgraph.shipping import ship
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="weftgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Workspaces that aren't lasting, for ``drop_all``.
+_OPEN: list[Workspace] = []
+
+
+def drop_all() -> None:
+    """Removes the tables of all workspaces that aren't lasting. Results that read them must have been consumed."""
+    while _OPEN:
+        _OPEN.pop().drop()
+
+
 class Workspace:
     """Named tables and small JSON notes below one folder. A given ``path`` makes it lasting, so that a run can resume."""
 
@@ -31,6 +44,8 @@ class Workspace:
         ship(spark)
         self.spark = spark
         self.path = path.rstrip("/") if path else f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        if not path:
+            _OPEN.append(self)
 
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -65,10 +80,12 @@ class Workspace:
         out.close()
         _, final = self._fs(self.at(name))
         fs.mkdirs(final.getParent())
-        if fs.exists(final):
-            fs.delete(final, False)
-        if not fs.rename(tmp, final):
-            raise OSError(f"could not place {final}")
+        # one step that replaces what is there; a plain rename can't, and deleting first might leave neither
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        array = self.spark.sparkContext._gateway.new_array(options, 1)
+        array[0] = options.OVERWRITE
+        context.rename(fs.makeQualified(tmp), fs.makeQualified(final), array)
 
     def get(self, name: str) -> dict | None:
         fs, p = self._fs(self.at(name))
