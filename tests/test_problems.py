@@ -122,13 +122,33 @@ def test_chunks_are_equal_and_exact(spark, tmp_path):
     data = [("hot",)] * 700 + [(f"k{i % 50}",) for i in range(300)] + [(None,)] * 3
     df = spark.createDataFrame(data, "key string").repartition(7)
     work = Workspace(spark, "s", str(tmp_path / "s"))
-    numbered = skew.offsets(spark, work, skew.key_runs(df, ["key"]), ["key"], 5)
-    cut = skew.chunks(numbered, ["key"], 100).groupBy("chunk").sum("n").collect()
-    assert sorted(r[1] for r in cut) == [3] + [100] * 10
+    placed = skew.placed_rows(work, df, ["key"])
+    numbered = skew.offsets(spark, work, skew.key_runs(placed), 5)
     ranges = sorted((r.start, r.start + r.n) for r in numbered.collect())
     assert ranges[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:])) and ranges[-1][1] == 1003
-    counts = {r.key: (r.rows, r.chunks) for r in skew.chunked_counts(spark, Workspace(spark, "s2", str(tmp_path / "s2")), df, ["key"], 100).collect()}
-    assert counts["hot"][0] == 700 and counts["hot"][1] >= 7 and counts["k3"][0] == 6 and counts[None][0] == 3
+    chunked = skew.in_chunks(placed, skew.cuts(placed, numbered, 100))
+    from pyspark.sql import functions as F
+
+    sizes = [tuple(r)[1:] for r in chunked.groupBy(F.spark_partition_id().alias("p"), "_chunk").count().collect()]
+    assert sorted(sizes) == [(k, 100) for k in range(10)] + [(10, 3)]  # one partition each, all of one size
+    states = skew.chunk_states(chunked, ["key"], 100).collect()
+    hot = sorted((s.chunk, s.first, s["last"], s.n) for s in states if s.key == "hot")
+    assert all(b[1] - 1 == a[2] for a, b in zip(hot, hot[1:])) and sum(s[3] for s in hot) == 700  # numbers go on from chunk to chunk
+    counts = {r.key: (r.rows, r.chunks, r["last"] - r["first"] + 1) for r in skew.chunked_counts(spark, Workspace(spark, "s2", str(tmp_path / "s2")), df, ["key"], 100).collect()}
+    assert counts["hot"][0] == counts["hot"][2] == 700 and counts["hot"][1] >= 7 and counts["k3"][::2] == (6, 6) and counts[None][0] == 3
+
+
+def test_chunk_of_as_by_comparison():
+    import random
+
+    import numpy as np
+
+    r = random.Random(2)
+    for _ in range(50):
+        borders = sorted({(r.randrange(4), r.randrange(6)) for _ in range(r.randrange(6))})
+        rows = [(r.randrange(-1, 5), r.randrange(7)) for _ in range(40)]
+        got = skew.chunk_of(*(np.array(x, np.int64) for x in zip(*rows)), np.array([b[0] for b in borders], np.int64), np.array([b[1] for b in borders], np.int64))
+        assert got.tolist() == [sum(b <= x for b in borders) for x in rows]
 
 
 @pytest.mark.parametrize("where", ["state", "sink", "commit"])
@@ -155,5 +175,31 @@ def test_late_records_wait_for_the_next_run(spark, make_store, tmp_path):
     work = Workspace(spark, "c", f"{tmp_path}/c")
     incremental.ChangeFeed(spark, work).run(files, [1])
     late = spark.createDataFrame([(50, 1, 10, "a/b10.c", False, "new")], "delivery_id bigint, scan_run int, id bigint, path string, is_deleted boolean, content_hash string")
-    got = incremental.ChangeFeed(spark, work).run(files.unionByName(late, allowMissingColumns=True), [1])
-    assert [tuple(r)[:3] for r in got.collect()] == [(1, 10, "ab")]
+    more = files.unionByName(late, allowMissingColumns=True)
+    assert [tuple(r)[:3] for r in incremental.ChangeFeed(spark, work).run(more, [1]).collect()] == [(1, 10, "ab")]
+
+
+def test_a_late_record_between_plan_and_replay_is_in_the_next_batch(spark, make_store, tmp_path):
+    root = make_store(**messy())
+    files = spark.read.parquet(f"{root}/cgdb_files.parquet")
+    work = Workspace(spark, "c", f"{tmp_path}/c")
+
+    def break_off(step, run):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        incremental.ChangeFeed(spark, work, on_step=break_off).run(files, [1])
+    late = spark.createDataFrame([(50, 1, 77, "a/b77.c", False, "late")], "delivery_id bigint, scan_run int, id bigint, path string, is_deleted boolean, content_hash string")
+    got = incremental.ChangeFeed(spark, work).run(files.unionByName(late, allowMissingColumns=True), [1, 3])
+    assert {(r.run_id, r.file_id) for r in got.collect()} >= {(1, 10), (3, 77)} and (1, 77) not in {(r.run_id, r.file_id) for r in got.collect()}
+
+
+def test_a_batch_writes_what_it_brings_and_tables_are_made_one(spark, tmp_path, monkeypatch):
+    schema = "delivery_id bigint, scan_run int, id bigint, path string, is_deleted boolean, content_hash string, sha256 string"
+    files = spark.createDataFrame([(k, 1, k, "p", False, "a", None) for k in range(200)] + [(1000 + r, r, r, "p", False, "b", None) for r in (2, 3, 4)], schema)
+    monkeypatch.setattr(incremental, "COMPACT_AFTER", 2)
+    work = Workspace(spark, "c", f"{tmp_path}/c")
+    got = incremental.ChangeFeed(spark, work).run(files, [1, 2, 3, 4])
+    assert sorted((r.run_id, r.file_id) for r in got.collect() if r.run_id > 1) == [(2, 2), (3, 3), (4, 4)]
+    assert work.load("state/2").count() == work.load("state/4").count() == 1
+    assert work.get("commits/3.json")["state"] == ["state/upto=3"] and work.get("commits/4.json")["state"] == ["state/upto=3", "state/4"]

@@ -1,16 +1,18 @@
 """Processing only new or changed records, exactly once per successful run.
 
 The delivered records are a log, spread over a fixed number of partitions by record id; a record's offset in its
-partition is (scan_run, delivery_id). A batch takes the records of one successful run and of the failed ones before it:
+partition is (scan_run, delivery_id). A batch takes the records of one successful run and of the failed ones before it,
+from where the batch before ended in each partition:
 
 1. its plan, with the offsets of every partition, is written ahead;
-2. the last record of each id in the batch is held against the state, and the new state is written;
+2. the last record of each id in the batch is held against the state, and the ids that the batch has get their new state;
 3. changes go to the sink under the batch's name;
 4. a commit note ends it.
 
-A batch that has a plan but no commit is replayed by its plan, never planned anew. Tables of a batch replace what a
-failed attempt left, and the sink's reader keeps one row per key with the greatest offset, so nothing is skipped or
-repeated.
+A batch that has a plan but no commit is replayed by its plan, never planned anew; what came after its plan is left to
+the next batch. Tables of a batch replace what a failed attempt left, and the sink's reader keeps one row per key with
+the greatest offset, so nothing is skipped or repeated. The state of an id is its row in the last table that has it: a
+batch writes as much as it brings, and every so many batches the tables are made one.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.workspace import Workspace
 
+#: State tables after which they are made one.
+COMPACT_AFTER = 16
+
 STATE = "id bigint, content string, deleted boolean, scan_run int, delivery_id bigint"
 SINK = "run_id int, file_id bigint, content string, scan_run int, delivery_id bigint"
 
@@ -47,54 +52,71 @@ class ChangeFeed:
         if all(self.work.get(f"plans/{r}.json") for r in runs):
             return [self.work.get(f"plans/{r}.json") for r in runs]
         log = file_log(files, self.log_partitions)
-        # one row per log partition and run
-        ends = log.groupBy("part", "scan_run").agg(F.max("delivery_id").alias("last"), F.count("*").alias("n")).collect()
-        out, before = [], None
+        # one row per log partition and run: offsets, not records
+        ends = log.groupBy("part", "scan_run").agg(F.max("delivery_id").alias("last")).collect()
+        out: list[dict] = []
         for r in runs:
             plan = self.work.get(f"plans/{r}.json")
             if plan is None:
-                mine = [e for e in ends if (before is None or e["scan_run"] > before) and e["scan_run"] <= r]
-                to: dict[str, list[int]] = {}
-                for e in mine:
-                    to[str(e["part"])] = max(to.get(str(e["part"]), [-1, -1]), [e["scan_run"], e["last"]])
-                plan = {"run": r, "after": before, "to": to, "records": sum(e["n"] for e in mine)}
+                start = out[-1]["to"] if out else {}
+                to = dict(start)
+                for e in ends:
+                    if e["scan_run"] <= r:
+                        to[str(e["part"])] = max(to.get(str(e["part"]), [-1, -1]), [e["scan_run"], e["last"] if e["last"] is not None else -1])
+                plan = {"run": r, "from": start, "to": to}
                 self.work.put(f"plans/{r}.json", plan)
             out.append(plan)
-            before = r
         return out
 
     def run(self, files: DataFrame, runs: list[int]) -> DataFrame:
         """Processes what isn't committed and returns the sink."""
         runs = sorted(set(runs))
-        plans = self.plan(files, runs)
-        state = None
-        for plan in plans:
+        state: list[str] = []
+        for plan in self.plan(files, runs):
             r = plan["run"]
-            if not self.work.get(f"commits/{r}.json"):
-                self.batch(files, plan, state)
-            state = f"state/{r}"
+            note = self.work.get(f"commits/{r}.json")
+            if not note:
+                note = self.batch(files, plan, state)
+            state = note["state"]
         return self.sink(runs)
 
-    def batch(self, files: DataFrame, plan: dict, state: str | None) -> None:
-        r, after = plan["run"], plan["after"]
+    def _beyond(self, log: DataFrame, offsets: dict) -> DataFrame:
+        """Adds ``_to``, the partition's offset in ``offsets``; null without one. As many entries as log partitions."""
+        rows = [(int(p), s, d) for p, (s, d) in offsets.items()]
+        table = self.spark.createDataFrame(rows, "part int, s int, d bigint")
+        return log.join(F.broadcast(table.select("part", F.struct("s", "d").alias("_to"))), "part", "left")
+
+    def batch(self, files: DataFrame, plan: dict, state: list[str]) -> dict:
+        r = plan["run"]
         self.on_step("state", r)
-        log = file_log(files.where(F.col("scan_run") <= r) if after is None else files.where((F.col("scan_run") > after) & (F.col("scan_run") <= r)), self.log_partitions)
-        if plan["to"]:  # records that came after the plan wait for the next run's batch
-            ends = F.create_map(*[x for p, (s, d) in plan["to"].items() for x in (F.lit(int(p)), F.struct(F.lit(s).alias("s"), F.lit(d).cast("bigint").alias("d")))])
-            log = log.where(F.struct(F.col("scan_run").alias("s"), F.col("delivery_id").alias("d")) <= F.try_element_at(ends, F.col("part")))
-        new = log.groupBy("id").agg(F.max(F.struct("scan_run", "delivery_id", "deleted", "content")).alias("new"))
-        old = self.work.load(state, STATE) if state else self.spark.createDataFrame([], STATE)
-        old = old.select("id", F.struct("scan_run", "delivery_id", "deleted", "content").alias("old"))
-        both = new.withColumn("old", F.lit(None).cast(old.schema["old"].dataType)).unionByName(old.withColumn("new", F.lit(None).cast(new.schema["new"].dataType)))
-        both = both.groupBy("id").agg(F.max("old").alias("old"), F.max("new").alias("new"))
-        now = F.coalesce("new", "old")
-        fresh = F.col("new").isNotNull() & ~F.col("new.deleted") & (F.col("old").isNull() | F.col("old.deleted") | ~F.col("old.content").eqNullSafe(F.col("new.content")))
-        out = both.select("id", *[now.getField(c).alias(c) for c in ("content", "deleted", "scan_run", "delivery_id")], fresh.alias("fresh"))
+        at = F.struct(F.col("scan_run").alias("s"), F.coalesce("delivery_id", F.lit(-1)).cast("bigint").alias("d"))
+        log = file_log(files.where(F.col("scan_run") <= r), self.log_partitions)
+        log = self._beyond(log, plan["to"]).where(at <= F.col("_to")).drop("_to")
+        if plan["from"]:
+            log = self._beyond(log, plan["from"]).where(F.col("_to").isNull() | (at > F.col("_to"))).drop("_to")
+        last = F.max(F.struct("scan_run", "delivery_id", "deleted", "content"))
+        new = log.groupBy("id").agg(last.alias("new"))
+        old = self.spark.createDataFrame([], STATE)
+        for name in state:
+            old = old.unionByName(self.work.load(name, STATE))
+        was = old.join(new.select("id"), "id", "left_semi").groupBy("id").agg(last.alias("old")) if state else old.select("id", F.struct("scan_run", "delivery_id", "deleted", "content").alias("old"))
+        fresh = ~F.col("new.deleted") & (F.col("old").isNull() | F.col("old.deleted") | ~F.col("old.content").eqNullSafe(F.col("new.content")))
+        now = F.greatest("old", "new")  # a late record of an earlier run doesn't take back what is known
+        out = new.join(was, "id", "left").select("id", *[now.getField(c).alias(c) for c in ("content", "deleted", "scan_run", "delivery_id")], (fresh & (now == F.col("new"))).alias("fresh"))
         out = self.work.save(out, f"state/{r}")
         self.on_step("sink", r)
         self.work.save(out.where("fresh").select(F.lit(r).alias("run_id"), F.col("id").alias("file_id"), "content", "scan_run", "delivery_id"), f"sink/{r}")
+        tables = [*state, f"state/{r}"]
+        if len(tables) > COMPACT_AFTER:
+            every = self.work.load(tables[0], STATE)
+            for name in tables[1:]:
+                every = every.unionByName(self.work.load(name, STATE))
+            self.work.save(every.groupBy("id").agg(last.alias("last")).select("id", "last.content", "last.deleted", "last.scan_run", "last.delivery_id"), f"state/upto={r}")
+            tables = [f"state/upto={r}"]
         self.on_step("commit", r)
-        self.work.put(f"commits/{r}.json", {"run": r})
+        note = {"run": r, "state": tables}
+        self.work.put(f"commits/{r}.json", note)
+        return note
 
     def sink(self, runs: list[int]) -> DataFrame:
         out = self.spark.createDataFrame([], SINK)

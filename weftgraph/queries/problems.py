@@ -103,7 +103,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     runs = [r[0] for r in table(spark, d, "scan_runs").where("status = 'ok' and run_id is not null").select("run_id").distinct().collect()]
-    feed = incremental.ChangeFeed(spark, Workspace(spark, "changes"))
+    feed = incremental.ChangeFeed(spark, Workspace(spark, "changes"))  # a lasting path would go on where the last call ended
     return feed.run(table(spark, d, "cgdb_files"), runs).select("run_id", "file_id")
 
 
