@@ -6,11 +6,11 @@ from weftgraph.plans.cypher import Cypher, CypherError, parse
 @pytest.fixture(scope="module")
 def g(spark):
     nodes = spark.createDataFrame(
-        [("n1", "foo", ["API_entry"], "kernel", 10, 5), ("n2", "bar", ["thread_processor"], "kernel", 20, 10), ("n3", "baz", ["out_end"], "lib", 30, 2), ("n4", "qux", ["API_entry"], "lib", 40, 8)],
+        [("a1", "load", ["gate", "public"], "port", 7, 3), ("a2", "plan", ["inner"], "port", 31, 9), ("a3", "ship", ["sink"], "yard", 12, 4), ("a4", "track", ["gate"], "yard", 58, 6), ("a5", "bill", [], "yard", 90, 1)],
         "id string, name string, labels array<string>, domain string, line int, complexity int",
     )
-    edges = spark.createDataFrame([("n1", "n2", "INVOKES"), ("n2", "n3", "INVOKES"), ("n1", "n2", "INVOKES"), ("n3", "n1", "LOCKS")], "src string, dst string, relation string")
-    return Cypher(spark, nodes, edges, spark.createDataFrame([("n1", "CONFIG_A AND CONFIG_B"), ("n2", "NOT CONFIG_A")], "id string, predicate string"))
+    edges = spark.createDataFrame([("a1", "a2", "INVOKES"), ("a2", "a3", "INVOKES"), ("a1", "a2", "INVOKES"), ("a2", "a4", "INVOKES"), ("a4", "a1", "HOLDS")], "src string, dst string, relation string")
+    return Cypher(spark, nodes, edges, spark.createDataFrame([("a1", "CONFIG_X AND CONFIG_Y"), ("a3", "NOT CONFIG_X")], "id string, predicate string"))
 
 
 def got(g, q):
@@ -20,26 +20,26 @@ def got(g, q):
 @pytest.mark.parametrize(
     "q,want",
     [
-        ("MATCH (n) RETURN COUNT(*) AS c, SUM(n.complexity) AS s, AVG(n.complexity) AS a, MIN(n.complexity) AS lo, MAX(n.complexity) AS hi", [(4, 25.0, 6.25, 2.0, 10.0)]),
-        ("MATCH (n) RETURN n.domain AS d, SUM(n.complexity) AS s GROUP BY n.domain HAVING s > 10 ORDER BY d", [("kernel", 15.0)]),
-        ("MATCH (n) RETURN n.line ORDER BY n.line DESC LIMIT 2", [(40,), (30,)]),
-        ("match (a)-[:INVOKES]->(b) return a.name, b.name order by a.name", [("bar", "baz"), ("foo", "bar")]),
-        ("MATCH (a)<-[:INVOKES]-(b) RETURN a.id, b.id ORDER BY a.id", [("n2", "n1"), ("n3", "n2")]),
-        ("MATCH (a {name='foo'})-[:INVOKES*1..3]->(b) RETURN b.id ORDER BY b.id", [("n2",), ("n3",)]),
-        ("MATCH (a {name='foo'})-[*2]->(b) RETURN b.id", [("n3",)]),
-        ("MATCH (a)-[*]->(b) WHERE a.id = 'n2' RETURN b.id", [("n3",)]),
-        ("MATCH (a)-[*2..]->(b:API_entry) RETURN a.id, b.id", [("n2", "n1")]),
-        ("MATCH (n:API_entry) WHERE n.line > 10 OR n.name LIKE 'f%' RETURN n.id ORDER BY n.id", [("n1",), ("n4",)]),
-        ("MATCH (n) WHERE NOT n.domain = 'lib' AND n.name IN ['foo', 'qux'] RETURN n.id", [("n1",)]),
-        ("MATCH (n) WHERE 'out_end' IN n.labels RETURN n.id", [("n3",)]),
-        ("MATCH (n) WHERE n.name =~ 'ba.' RETURN n.id ORDER BY n.id", [("n2",), ("n3",)]),
-        ("MATCH (n) WHERE CONFIG(n, 'CONFIG_A') RETURN n.id", [("n1",)]),
-        ("MATCH (a)-[:INVOKES]->(b), (b)-[:INVOKES]->(c) RETURN a.id, c.id", [("n1", "n3")]),
-        ("MATCH (a)-[:INVOKES]->(b)-[:INVOKES]->(c) RETURN a.id, c.id", [("n1", "n3")]),
-        ("MATCH (n) WHERE n.missing = null RETURN COUNT(*)", [(4,)]),
+        ("MATCH (n) RETURN COUNT(*) AS c, SUM(n.complexity) AS s, AVG(n.complexity) AS a, MIN(n.complexity) AS lo, MAX(n.complexity) AS hi", [(5, 23.0, 4.6, 1.0, 9.0)]),
+        ("MATCH (n) RETURN n.domain AS d, SUM(n.complexity) AS s GROUP BY n.domain HAVING s > 11 ORDER BY d", [("port", 12.0)]),
+        ("MATCH (n) RETURN n.line ORDER BY n.line DESC LIMIT 2", [(90,), (58,)]),
+        ("match (a)-[:INVOKES]->(b) return a.name, b.name order by b.name", [("load", "plan"), ("plan", "ship"), ("plan", "track")]),
+        ("MATCH (a)<-[:INVOKES]-(b) RETURN a.id, b.id ORDER BY a.id", [("a2", "a1"), ("a3", "a2"), ("a4", "a2")]),
+        ("MATCH (a {name='load'})-[:INVOKES*1..3]->(b) RETURN b.id ORDER BY b.id", [("a2",), ("a3",), ("a4",)]),
+        ("MATCH (a {name='load'})-[*2]->(b) RETURN b.id ORDER BY b.id", [("a3",), ("a4",)]),
+        ("MATCH (a)-[*]->(b) WHERE a.id = 'a2' RETURN b.id ORDER BY b.id", [("a3",), ("a4",)]),
+        ("MATCH (a)-[*2..]->(b:gate) RETURN a.id, b.id ORDER BY a.id", [("a1", "a4"), ("a2", "a1")]),
+        ("MATCH (n:gate) WHERE n.line > 10 OR n.name LIKE 'l%' RETURN n.id ORDER BY n.id", [("a1",), ("a4",)]),
+        ("MATCH (n) WHERE NOT n.domain = 'yard' AND n.name IN ['load', 'bill'] RETURN n.id", [("a1",)]),
+        ("MATCH (n) WHERE 'sink' IN n.labels RETURN n.id", [("a3",)]),
+        ("MATCH (n) WHERE n.name =~ 'pl..' RETURN n.id ORDER BY n.id", [("a2",)]),
+        ("MATCH (n) WHERE CONFIG(n, 'CONFIG_X') RETURN n.id", [("a1",)]),
+        ("MATCH (a)-[:INVOKES]->(b), (b)-[:INVOKES]->(c) RETURN a.id, c.id ORDER BY c.id", [("a1", "a3"), ("a1", "a4")]),
+        ("MATCH (a)-[:INVOKES]->(b)-[:INVOKES]->(c) RETURN a.id, c.id ORDER BY c.id", [("a1", "a3"), ("a1", "a4")]),
+        ("MATCH (n) WHERE n.missing = null RETURN COUNT(*)", [(5,)]),
         ("MATCH (n) WHERE n.missing > 3 RETURN n.id", []),
         ("MATCH (n:none) RETURN SUM(n.line)", [(0.0,)]),
-        ("MATCH (n) WHERE n.name RETURN COUNT(n.id)", [(4,)]),
+        ("MATCH (n) WHERE n.name RETURN COUNT(n.id)", [(5,)]),
     ],
 )
 def test_query(g, q, want):

@@ -6,6 +6,7 @@ The language is C's preprocessor's: ! && || == != < > <= >= defined(X), names an
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import product
 
 _TOKEN = re.compile(r"\s*(defined\b|&&|\|\||[!=<>]=|[!<>()]|-?\d+|[A-Za-z_][\w.>\-]*(?<![\-]))")
@@ -126,35 +127,49 @@ def names(e: tuple) -> set[str]:
     return set().union(*(names(x) for x in e[1:] if isinstance(x, tuple))) if e[0] != "num" else set()
 
 
-def truth_table(text: str, most: int = 12) -> list[tuple[dict[str, bool], bool | None]]:
-    """The value for every setting of the macros; ConditionError beyond ``most`` macros."""
+def truth_table(text: str) -> Iterator[tuple[dict[str, bool], bool | None]]:
+    """The value for every setting of the macros, one after the other: twice as many for each macro."""
     e = parse(text)
     free = sorted(names(e))
-    if len(free) > most:
-        raise ConditionError("too many macros")
-    return [(dict(zip(free, bits)), evaluate(e, {k: 1 if b else None for k, b in zip(free, bits)})) for bits in product((False, True), repeat=len(free))]
+    return ((dict(zip(free, bits)), evaluate(e, {k: 1 if b else None for k, b in zip(free, bits)})) for bits in product((False, True), repeat=len(free)))
 
 
 def feasible(conditions: list[str]) -> tuple[bool, list[str]]:
-    """Whether all conditions can hold at once, by ranges and known values, and the names that contradict. A condition that
-    can't be parsed limits nothing; alternatives are tried one by one."""
-    parsed = []
+    """Whether all conditions can hold at once, by ranges and known values, and the names that contradict if the first
+    alternative of each is taken. A condition that can't be parsed limits nothing. Alternatives are searched depth first and
+    left as soon as what they say about a name can't hold; none is left out."""
+    goals: list[tuple[tuple, bool]] = []
     for c in conditions:
         try:
-            parsed.append(parse(c))
+            goals.append((parse(c), True))
         except ConditionError:
             continue
-    branches = [[]]
-    for e in parsed:
-        alternatives = _alternatives(e)
-        branches = [b + a for b in branches for a in alternatives][:256]
-    worst: list[str] = []
-    for b in branches:
-        bad = _contradictions(b)
-        if not bad:
-            return True, []
-        worst = worst or bad
-    return False, worst
+    if _search(goals[::-1], []):
+        return True, []
+    first = [f for e, _ in goals for f in next(iter(_alternatives(e)), [])]
+    return False, _contradictions(first)
+
+
+def _search(goals: list[tuple[tuple, bool]], facts: list[tuple[str, str, int]]) -> bool:
+    """Whether the goals, the last one first, can hold beside the facts."""
+    goals, facts = list(goals), list(facts)
+    while goals:
+        e, positive = goals.pop()
+        if e[0] == "not":
+            goals.append((e[1], not positive))
+        elif e[0] in ("or", "and"):
+            if (e[0] == "or") == positive:
+                return any(_search([*goals, (x, positive)], facts) for x in e[1:])
+            goals += [(e[2], positive), (e[1], positive)]
+        else:
+            found = _alternatives(e, positive)
+            if not found:
+                return False
+            for name, op, n in found[0]:
+                facts.append((name, op, n))
+                if _contradictions([f for f in facts if f[0] == name]):
+                    return False
+    return True
 
 
 _FLIP = {"==": "!=", "!=": "==", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}

@@ -73,12 +73,19 @@ def hub_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(most)).select("id", "n_in", "n_out", F.round(F.col("raw") / F.col("most"), 6).alias("score"))
 
 
+# fixed patterns of names
+TEST_NAMES = "^(test|mock|stub|bench|spec)_"
+ENTRY_NAMES = "^(main|run|start|execute)$|^(handle|on|process|do|perform|dispatch)_"
+UTILITY_NAMES = "^(get|set|is|has|check|validate)_"
+
+
 def entry_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """out / (in + 1), doubled for API entries, times 1.5 for entry names, 0.3 for utilities, 0.1 for tests, to three places."""
+    """out / (in + 1), doubled for API entries, times 1.5 for entry names, else 0.3 for utilities, or 0.1 for tests, to three
+    places. Names are told by how they begin."""
     one = nodes.select("id", "name", F.coalesce(F.array_contains("labels", "API_entry"), F.lit(False)).alias("api"))
     one = one.join(degree(edges, "dst", "n_in"), "id", "left").join(degree(edges, "src", "n_out"), "id", "left").na.fill(0, ["n_in", "n_out"])
     low = F.lower("name")
-    factor = F.when(low.rlike("test|mock|stub"), 0.1).when(low.rlike("^(main|init|start|run|open|handle|process|dispatch)"), 1.5).when(low.rlike("^(get|set|is|has)_|util|helper|_len$"), 0.3).otherwise(1.0)
+    factor = F.when(low.rlike(TEST_NAMES), 0.1).when(low.rlike(ENTRY_NAMES), 1.5).when(low.rlike(UTILITY_NAMES), 0.3).otherwise(1.0)
     return one.select("id", "n_in", "n_out", F.round(F.col("n_out") / (F.col("n_in") + 1) * F.when(F.col("api"), 2.0).otherwise(1.0) * factor, 3).alias("score"))
 
 

@@ -107,15 +107,21 @@ def degree_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def resolve_callees(calls: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFrame:
     """src, callee, dst, confidence: the best of same file .95, import .85, same domain .75, suffix .60, unique name .55, and an
     ambiguous name .40 in the domain or .30 elsewhere. calls: src, file, domain, callee; imports: file, name, id."""
-    n = nodes.select("id", F.col("name").alias("callee"), F.col("source_file").alias("n_file"), F.col("domain").alias("n_domain"))
-    many = n.groupBy("callee").agg(F.count("*").alias("n"))
-    by_name = calls.join(n, "callee").join(many, "callee")
-    level = (
-        F.when(F.col("file") == F.col("n_file"), 0.95).when((F.col("domain") == F.col("n_domain")) & (F.col("n") == 1), 0.75)
-        .when(F.col("n") == 1, 0.55).when(F.col("domain") == F.col("n_domain"), 0.40).otherwise(0.30)
-    )
-    cand = by_name.select("src", "callee", F.col("id").alias("dst"), level.alias("confidence"))
-    imported = calls.join(imports.select("file", F.col("name").alias("callee"), "id"), ["file", "callee"]).select("src", "callee", F.col("id").alias("dst"), F.lit(0.85).alias("confidence"))
+    # one candidate for each name, name in a domain and name in a file, so that a common name doesn't meet all its definitions
+    n = nodes.where("name is not null").select("id", F.col("name").alias("callee"), F.col("source_file").alias("file"), "domain")
+    by = lambda *keys: n.groupBy("callee", *keys).agg(F.min("id").alias("dst"), F.countDistinct("id").alias("n"))
+    calls = calls.where("callee is not null")
+    one = lambda rows, score: rows.select("src", "callee", "dst", score.alias("confidence"))
+    whole = by().withColumnRenamed("n", "n_all")
+    here = calls.join(by("file"), ["callee", "file"])
+    near = calls.join(by("domain"), ["callee", "domain"]).join(whole.select("callee", "n_all"), "callee")
     last = F.element_at(F.split("callee", r"[.:]+"), -1)
-    tail = calls.where(last != F.col("callee")).withColumn("last", last).join(n.select("id", F.col("callee").alias("last")), "last").select("src", "callee", F.col("id").alias("dst"), F.lit(0.60).alias("confidence"))
-    return best_per_group(cand.unionByName(imported).unionByName(tail), ["src", "callee"], [F.desc("confidence"), F.asc("dst")], 1, "_r").drop("_r")
+    tails = calls.where(last != F.col("callee")).select("src", "callee", last.alias("last"))
+    cand = (
+        one(here, F.lit(0.95))
+        .unionByName(one(near, F.when(F.col("n_all") == 1, 0.75).otherwise(0.40)))
+        .unionByName(one(calls.join(whole, "callee"), F.when(F.col("n_all") == 1, 0.55).otherwise(0.30)))
+        .unionByName(one(calls.join(imports.groupBy("file", F.col("name").alias("callee")).agg(F.min("id").alias("dst")), ["file", "callee"]), F.lit(0.85)))
+        .unionByName(one(tails.join(whole.withColumnRenamed("callee", "last"), "last"), F.lit(0.60)))
+    )
+    return best_per_group(cand, ["src", "callee"], [F.desc("confidence"), F.asc("dst")], 1, "_r").drop("_r")

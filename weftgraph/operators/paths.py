@@ -67,11 +67,20 @@ def param_flow(spark: SparkSession, args: DataFrame, params: DataFrame, start: D
 
 def propagate_models(spark: SparkSession, edges: DataFrame, entries: DataFrame, owners: DataFrame) -> DataFrame:
     """Thread models handed down from entries to what they reach, stopping at functions that own one. entries: id, model,
-    priority; of several models the one with the greatest priority, then the greatest name, wins. Returns id, model."""
-    stop = owners.select("id").distinct()
-    inner = edges.join(stop.select(F.col("id").alias("src")), "src", "left_anti") if owners is not None else edges
-    first = edges.join(entries.select(F.col("id").alias("src")), "src", "left_semi")
-    reach = closure(spark, inner.select("src", "dst").unionByName(first.select("src", "dst")).distinct(), entries.select("id"), "down")
-    rows = reach.join(entries.select(F.col("id").alias("start"), "model", "priority"), "start")
-    rows = rows.join(stop, "id", "left_anti").unionByName(rows.where("depth = 0"))
-    return rows.groupBy("id").agg(F.max(F.struct("priority", "model")).alias("m")).select("id", "m.model")
+    priority; of several models the one with the greatest priority, then the greatest name, wins. Returns id, model.
+
+    What travels is a model, not an entry, so a function is visited once for each model and not for each entry."""
+    from weftgraph.workspace import Workspace
+
+    work = Workspace(spark, "models")
+    stop = work.save(owners.select("id").distinct(), "owners")
+    calls = work.save(edges.select("src", "dst").distinct(), "calls")
+    level = work.save(entries.select("id", "model", "priority").distinct(), "level=0")
+    seen, step = level, 0
+    while not level.isEmpty():
+        step += 1
+        new = level.withColumnRenamed("id", "src").join(calls, "src").select(F.col("dst").alias("id"), "model", "priority").distinct()
+        new = new.join(stop, "id", "left_anti").join(seen, ["id", "model", "priority"], "left_anti")
+        level = work.save(new, f"level={step}")
+        seen = seen.unionByName(level)
+    return seen.groupBy("id").agg(F.max(F.struct("priority", "model")).alias("m")).select("id", "m.model")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from weftgraph.queries import codegraph, facts, pathqueries, problems, views
+    from weftgraph.queries import bodies, codegraph, facts, pathqueries, problems, views
 
-    return [problems, codegraph, facts, pathqueries, views]
+    return [problems, codegraph, facts, pathqueries, views, bodies]
 
 
 def core_queries() -> dict:

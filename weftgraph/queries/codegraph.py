@@ -214,8 +214,8 @@ _DEG = "dout as (select src as id, count(*) as n_out from calls group by 1), din
 _SCORE = f"""{_DEG}, scored as (
   select n.id, n.name, coalesce(n_in, 0) as n_in, coalesce(n_out, 0) as n_out,
     round(coalesce(n_out, 0) / (coalesce(n_in, 0) + 1) * case when coalesce(list_contains(n.labels, 'API_entry'), false) then 2.0 else 1.0 end *
-      case when regexp_matches(lower(name), 'test|mock|stub') then 0.1 when regexp_matches(lower(name), '^(main|init|start|run|open|handle|process|dispatch)') then 1.5
-           when regexp_matches(lower(name), '^(get|set|is|has)_|util|helper|_len$') then 0.3 else 1.0 end, 3) as score
+      case when regexp_matches(lower(name), '^(test|mock|stub|bench|spec)_') then 0.1 when regexp_matches(lower(name), '^(main|run|start|execute)$|^(handle|on|process|do|perform|dispatch)_') then 1.5
+        when regexp_matches(lower(name), '^(get|set|is|has|check|validate)_') then 0.3 else 1.0 end, 3) as score
   from nodes n left join dout using (id) left join din using (id))"""
 
 

@@ -74,10 +74,9 @@ def find_invokers(spark, d):
 
 
 def ops_impls(spark, d):
-    """Implementations that tables of operations bind: by table owner, how many and the first two by name."""
+    """Implementations that tables of operations bind: each with its rank by name within its table."""
     e = _edges(spark, d).where("relation = 'OPS_BIND'").select("src", "dst").distinct().join(_nodes(spark, d).select(F.col("id").alias("dst"), "name"), "dst")
-    ranked = e.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("name", "dst")))
-    return ranked.groupBy("src").agg(F.max("r").alias("n"), F.max(F.when(F.col("r") == 1, F.col("name"))).alias("first"), F.max(F.when(F.col("r") == 2, F.col("name"))).alias("second"))
+    return e.select("src", "dst", "name", F.row_number().over(Window.partitionBy("src").orderBy("name", "dst")).alias("rank"))
 
 
 def struct_layout(spark, d):
@@ -207,7 +206,7 @@ SQL = {
     "trace_data_flow": f"with recursive {_B}, {_reach(f'select src as id from e where relation in ({_DF}) group by 1 order by count(*) desc, 1 limit 1', _DF, 'src', 'dst', 20)} select id, min(depth) as depth from r group by 1",
     "include_closure": f"""with recursive {_B}, {_reach("select dst as id from e where relation = 'IMPORTS' group by 1 order by count(*) desc, 1 limit 1", "'IMPORTS'", 'dst', 'src', 60)} select id, min(depth) as depth from r group by 1""",
     "find_invokers": f"""with recursive {_B}, {_reach("select dst as id from e join nodes n on n.id = dst where relation in ('INVOKES', 'OPS_BIND') group by 1 order by count(*) desc, 1 limit 1", "'INVOKES', 'OPS_BIND'", 'dst', 'src', 2)} select id, min(depth) as depth from r group by 1 having min(depth) > 0""",
-    "ops_impls": f"with {_B}, b as (select distinct src, dst from e where relation = 'OPS_BIND'), k as (select b.src, n.name, row_number() over (partition by b.src order by n.name nulls first, b.dst) as r from b join nodes n on n.id = b.dst) select src, max(r)::int as n, max(name) filter (where r = 1) as first, max(name) filter (where r = 2) as second from k group by 1",
+    "ops_impls": f"with {_B}, b as (select distinct src, dst from e where relation = 'OPS_BIND') select b.src, b.dst, n.name, row_number() over (partition by b.src order by n.name nulls first, b.dst) as rank from b join nodes n on n.id = b.dst",
     "struct_layout": "with n as (select distinct version_id, file_id, fqn, byte_start from cgdb_nodes where kind = 'field' and file_id is not null and byte_start is not null and fqn is not null) select *, row_number() over w as position, byte_start - lag(byte_start) over w as gap from n window w as (partition by version_id, file_id order by byte_start, fqn)",
     "kind_counts": "select kind, count(*) as n_rows, count(distinct fqn) as n_names from cgdb_nodes where version_id = (select max(version_id) from cgdb_nodes) group by 1",
     "label_counts": f"with {_B} select label, count(*) as n from (select unnest(labels) as label from nodes) group by 1",
