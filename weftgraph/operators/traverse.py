@@ -18,13 +18,24 @@ OPEN_HOPS = 5
 def _directed(edges: DataFrame, direction: str) -> DataFrame:
     down = edges.select("src", "dst")
     up = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return {"down": down, "up": up, "both": down.unionByName(up)}[direction].distinct()
+    return {"down": down, "up": up, "both": down.unionByName(up)}[direction]
+
+
+#: Hops up to which a traversal reads the edges again at each level instead of writing them down once.
+FEW_HOPS = 2
+
+
+def _hops(work: Workspace, edges: DataFrame, direction: str, max_depth: int | None) -> DataFrame:
+    """Edges by their source. Repeated ones stay: a level is made distinct anyway, and telling them here would shuffle all
+    edges for what may be a few hops."""
+    rows = _directed(edges, direction)
+    return rows if max_depth is not None and max_depth <= FEW_HOPS else work.save(rows, "hops")
 
 
 def closure(spark: SparkSession, edges: DataFrame, starts: DataFrame, direction: str = "down", max_depth: int | None = None) -> DataFrame:
     """start, id, depth: what each start reaches, with the least depth; the start itself at depth 0. starts: id."""
     work = Workspace(spark, "closure")
-    hops = work.save(_directed(edges, direction), "hops")
+    hops = _hops(work, edges, direction, max_depth)
     level = work.save(starts.where("id is not null").select(F.col("id").alias("start"), "id").distinct().withColumn("depth", F.lit(0)), "level=0")
     seen, depth = level, 0
     while max_depth is None or depth < max_depth:
@@ -40,7 +51,7 @@ def closure(spark: SparkSession, edges: DataFrame, starts: DataFrame, direction:
 def chain_levels(spark: SparkSession, edges: DataFrame, starts: DataFrame, direction: str, max_depth: int) -> DataFrame:
     """depth, id: the set of nodes at each depth. A node on a cycle comes again at several depths, as with UNION recursion."""
     work = Workspace(spark, "chain")
-    hops = work.save(_directed(edges, direction), "hops")
+    hops = _hops(work, edges, direction, max_depth)
     level = work.save(starts.where("id is not null").select("id").distinct().withColumn("depth", F.lit(0)), "level=0")
     out = level
     for depth in range(1, max_depth + 1):
@@ -55,7 +66,7 @@ def simple_paths(spark: SparkSession, edges: DataFrame, starts: DataFrame, max_h
     """start, id, hops, path: every path without a repeated node. With ``ends`` only those that end there; paths that can't
     get there any more are dropped on the way. The number of paths grows with max_hops, so it has no default."""
     work = Workspace(spark, "paths")
-    hops = work.save(_directed(edges, "down"), "hops")
+    hops = work.save(_directed(edges, "down").distinct(), "hops")
     if ends is not None:  # no detours: only edges on some way to an end
         near = closure(spark, hops, ends, "up", max_hops).select(F.col("id").alias("dst")).distinct()
         hops = work.save(hops.join(near, "dst", "left_semi").select("src", "dst"), "useful")
@@ -79,7 +90,7 @@ def simple_paths(spark: SparkSession, edges: DataFrame, starts: DataFrame, max_h
 def shortest_paths(spark: SparkSession, edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """id, depth, parent: a shortest-path tree from one start; among equal parents the least id."""
     work = Workspace(spark, "shortest")
-    hops = work.save(_directed(edges, "down"), "hops")
+    hops = _hops(work, edges, "down", max_depth)
     level = work.save(start.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).distinct(), "level=0")
     seen, depth = level, 0
     while max_depth is None or depth < max_depth:
@@ -94,7 +105,7 @@ def shortest_paths(spark: SparkSession, edges: DataFrame, start: DataFrame, max_
 
 def impact(edges: DataFrame, node: DataFrame) -> DataFrame:
     """Callers and callers' callers of one node: id, rank (1 or 2), via. For the second the least via counts."""
-    e = _directed(edges, "up")
+    e = _directed(edges, "up").distinct()
     first = e.join(node.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
     second = first.join(e, first.id == e.src).groupBy(F.col("dst").alias("id2")).agg(F.min("src").alias("via"))
     second = second.join(first, second.id2 == first.id, "left_anti").join(node, second.id2 == node.id, "left_anti").select(F.col("id2").alias("id"), F.lit(2).alias("rank"), "via")
@@ -117,7 +128,7 @@ def cohesion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def components(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, component: the least id reachable without regard to direction, by min-label propagation with pointer jumping."""
     work = Workspace(spark, "components")
-    links = work.save(_directed(edges, "both"), "links")
+    links = work.save(_directed(edges, "both").distinct(), "links")
     labels = work.save(nodes.select("id", F.col("id").alias("component")).distinct(), "round=0")
     n = 0
     while True:

@@ -237,6 +237,10 @@ SQL = {
         "select id, n_in, n_out, round(raw / (select max(raw) from raw), 6) as score from raw",
         _DEG + ", xd as (select dst as id, count(distinct a.domain) as c from pairs join nodes a on a.id = src join nodes b on b.id = dst where a.domain <> b.domain group by 1), raw as (select n.id, n_in, n_out, n_in * n_out * (1 + 0.5 * coalesce(c, 0)) as raw from nodes n join dout using (id) join din using (id) left join xd using (id))",
     ),
+    "call_components": _q(
+        "select component, count(*) as n from (select id, min(other) as component from reach group by 1) group by 1",
+        "links as (select src, dst from pairs union select dst, src from pairs), reach as (select src as id, src as other from links union select r.id, l.dst from reach r join links l on l.src = r.other)", True,
+    ),
     "entry_scores": _q("select id, n_in, n_out, score from scored", _SCORE),
     "archetype_top5": _q(
         "select archetype, rank, id, score from (select *, row_number() over (partition by archetype order by score desc, id) as rank from k) where rank <= 5",

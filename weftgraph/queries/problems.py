@@ -180,6 +180,13 @@ SQL = {
     "p2_found": f"""with {_CHANGES}
         select vs.version_id, p.fqn, case when is_new then 'added' when is_gone then 'removed' else 'changed' end as change
         from pairs p join vs on vs.r = p.r where p.r > 1 and (is_new or is_gone or differs)""",
+    "p2_changes": f"""with {_CHANGES},
+        raw as (select version_id, fqn, kind, type_spelling, signature, attrs, row_number() over (partition by version_id, fqn order by loaded_at desc nulls last) as rn from cgdb_nodes where fqn is not null and version_id is not null)
+        select n.version_id, p.fqn, case when is_new then 'added' when is_gone then 'removed' else 'changed' end as change,
+          a.kind as old_kind, a.type_spelling as old_type_spelling, a.signature as old_signature, a.attrs as old_attrs, b.kind as new_kind, b.type_spelling as new_type_spelling, b.signature as new_signature, b.attrs as new_attrs
+        from pairs p join vs n on n.r = p.r join vs o on o.r = p.r - 1
+        left join raw a on a.fqn = p.fqn and a.version_id = o.version_id and a.rn = 1 left join raw b on b.fqn = p.fqn and b.version_id = n.version_id and b.rn = 1
+        where p.r > 1 and (is_new or is_gone or differs)""",
     "p3_found": """
         with k as (select 'invoker_id' as column_name, invoker_id as func_id from edges union all select 'invoked_id', invoked_id from edges)
         select column_name, func_id from k where func_id is not null group by 1, 2 having count(*) >= 0.02 * (select count(*) from edges)""",
