@@ -80,20 +80,23 @@ class ChangeFeed:
             state = note["state"]
         return self.sink(runs)
 
-    def _beyond(self, log: DataFrame, offsets: dict) -> DataFrame:
-        """Adds ``_to``, the partition's offset in ``offsets``; null without one. As many entries as log partitions."""
-        rows = [(int(p), s, d) for p, (s, d) in offsets.items()]
-        table = self.spark.createDataFrame(rows, "part int, s int, d bigint")
-        return log.join(F.broadcast(table.select("part", F.struct("s", "d").alias("_to"))), "part", "left")
+    @staticmethod
+    def _offset(offsets: dict):
+        """The log partition's offset in ``offsets``; null without one. As many entries as log partitions."""
+        kind = "struct<s: int, d: bigint>"
+        entries = ", ".join(f"{int(p)}, named_struct('s', {int(s)}, 'd', {int(d)}L)" for p, (s, d) in offsets.items())
+        return F.expr(f"try_element_at(map({entries}), part)" if entries else f"cast(null as {kind})")
 
     def batch(self, files: DataFrame, plan: dict, state: list[str]) -> dict:
         r = plan["run"]
         self.on_step("state", r)
         at = F.struct(F.col("scan_run").alias("s"), F.coalesce("delivery_id", F.lit(-1)).cast("bigint").alias("d"))
-        log = file_log(files.where(F.col("scan_run") <= r), self.log_partitions)
-        log = self._beyond(log, plan["to"]).where(at <= F.col("_to")).drop("_to")
+        least = min((s for s, _ in plan["from"].values()), default=None) if len(plan["from"]) == self.log_partitions else None
+        # what lies beyond an offset has at least its run, so earlier runs needn't be read
+        log = file_log(files.where(F.col("scan_run").between(least, r) if least is not None else F.col("scan_run") <= r), self.log_partitions)
+        log = log.where(at <= self._offset(plan["to"]))
         if plan["from"]:
-            log = self._beyond(log, plan["from"]).where(F.col("_to").isNull() | (at > F.col("_to"))).drop("_to")
+            log = log.where(self._offset(plan["from"]).isNull() | (at > self._offset(plan["from"])))
         last = F.max(F.struct("scan_run", "delivery_id", "deleted", "content"))
         new = log.groupBy("id").agg(last.alias("new"))
         old = self.spark.createDataFrame([], STATE)
